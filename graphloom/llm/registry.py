@@ -7,9 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import sql
 from graphloom.llm.common import table
 
 
+#: Fixed rules of the url contract: host, path, verdict.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.urlfilter import judge
+
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS t(host, path, verdict)")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.chat import render
+
+    return render(table(spark, sf_dir, "conversations"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,4 +48,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
