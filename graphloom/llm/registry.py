@@ -36,6 +36,15 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.langid import fit, learnable, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(learnable()))
+    held_out = docs.select("doc_id", F.coalesce(~learnable(), F.lit(False)).alias("held_out"), "text")
+    return predict(held_out, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.simhash import groups
 
