@@ -22,6 +22,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.chat import render
 
