@@ -11,6 +11,13 @@ from graphloom.llm import sql
 from graphloom.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.substring import dedup_report
+
+    got = dedup_report(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
+
+
 #: Fixed rules of the url contract: host, path, verdict.
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -42,6 +49,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.suffix import dedup_report
+
+    got = dedup_report(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.langid import fit, learnable, predict
 
