@@ -41,6 +41,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(table(spark, sf_dir, "conversations"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
