@@ -55,6 +55,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontam import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.suffix import dedup_report
 
