@@ -14,29 +14,26 @@ worked on in spans; extra columns do not matter.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 
-from graphloom.llm.windows import BUCKET, Entry, Shape, apply, removals, report, rewrite
+from graphloom.llm.windows import BUCKET, Shape, apply, removals, report, rewrite
 
 WINDOW, GRAM = 50, 16
 
 
-def sort_windows(shape: Shape, group: list[Entry]) -> list[list[tuple[int, int]]]:
-    """Sort the windows of a bucket; equal ones come to stand side by side."""
-    out = [[(low, copies)] * n for _, n, low, copies in group]
-    rows = sorted((shape.pack(units, o, o + shape.length), i, o) for i, (units, n, _, _) in enumerate(group) for o in range(n))
+def sort_windows(rows: list[tuple[bytes, int]]) -> Iterator[list[int]]:
+    """Sort windows; equal ones come to stand side by side."""
+    rows.sort()
     at = 0
     while at < len(rows):
         end = at + 1
         while end < len(rows) and rows[end][0] == rows[at][0]:
             end += 1
         if end - at > 1:
-            same = [group[i] for _, i, _ in rows[at:end]]
-            got = (min(g[2] for g in same), sum(g[3] for g in same))
-            for _, i, o in rows[at:end]:
-                out[i][o] = got
+            yield [i for _, i in rows[at:end]]
         at = end
-    return out
 
 
 def _parts(docs: DataFrame, window: int, gram: int, key: str, text: str, bucket: int) -> tuple[DataFrame, DataFrame]:

@@ -17,58 +17,34 @@ long texts are worked on in spans; extra columns do not matter.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 
-from graphloom.llm.windows import BUCKET, Entry, Shape, apply, removals, report, rewrite
+from graphloom.llm.windows import BUCKET, Shape, apply, removals, report, rewrite
 
 WINDOW, GRAM = 400, 128
 #: Bytes that the quicksort looks at on each level.
 TOKEN = 100
 
 
-def multikey_quicksort(shape: Shape, group: list[Entry]) -> list[list[tuple[int, int]]]:
-    """Three-way partition by one token a level; suffixes equal to the last level are one class.
-
-    Equal suffixes of a bucket have their anchor at the same distance, so each
-    distance is a list of its own to start with.
-    """
-    out = [[(low, copies)] * n for _, n, low, copies in group]
-    length = shape.length
-    lists: dict[int, list[tuple[int, int]]] = {}
-    for i, (units, n, _, _) in enumerate(group):
-        back = _anchor(shape, units)
-        for o in range(n):
-            lists.setdefault(back - o, []).append((i, o))
-    todo = [(x, 0) for x in lists.values() if len(x) > 1]
+def multikey_quicksort(rows: list[tuple[bytes, int]]) -> Iterator[list[int]]:
+    """Three-way partition of suffixes by one token a level; what is equal on the last level is one class."""
+    todo = [(rows, 0)]
     while todo:
         items, depth = todo.pop()
-        if depth >= length:
-            same = [group[i] for i, _ in items]
-            got = (min(g[2] for g in same), sum(g[3] for g in same))
-            for i, o in items:
-                out[i][o] = got
+        if depth >= len(items[0][0]):
+            yield [i for _, i in items]
             continue
-        i, o = items[len(items) // 2]
-        end = min(depth + TOKEN, length)
-        pivot = group[i][0][o + depth : o + end]
+        end = depth + TOKEN
+        pivot = items[len(items) // 2][0][depth:end]
         less, equal, more = [], [], []
         for item in items:
-            token = group[item[0]][0][item[1] + depth : item[1] + end]
+            token = item[0][depth:end]
             (equal if token == pivot else less if token < pivot else more).append(item)
-        if len(equal) > 1:
-            todo.append((equal, end))
-        if len(less) > 1:
-            todo.append((less, depth))
-        if len(more) > 1:
-            todo.append((more, depth))
-    return out
-
-
-def _anchor(shape: Shape, units: bytes) -> int:
-    """Where a packed string's anchor starts: all its windows share it."""
-    h = shape.hashes(units[: shape.length])
-    low = (h >> 24).argmin()
-    return int(low)
+        for part, at in ((less, depth), (equal, end), (more, depth)):
+            if len(part) > 1:
+                todo.append((part, at))
 
 
 def _parts(docs: DataFrame, window: int, gram: int, key: str, text: str, bucket: int) -> tuple[DataFrame, DataFrame]:

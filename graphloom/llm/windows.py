@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import arrow_stage, cut, mix64, text_bytes
 
 #: Occurrences of an anchor for each bucket it is dealt over.
-BUCKET = 1 << 14
+BUCKET = 1 << 16
 #: Windows worked on at once in a long document.
 SPAN = 1 << 20
 #: Bytes of packed strings merged in a task before they are handed on.
@@ -76,6 +76,13 @@ class Shape:
     def pack(self, units, start: int, end: int) -> bytes:
         return b" ".join(units[start:end]) if self.words else units[start:end]
 
+    def edges(self, string: bytes):
+        """Where each unit of a packed string starts, and one past the last (with the space that would follow a word)."""
+        if not self.words:
+            return range(len(string) + 1)
+        spaces = np.flatnonzero(np.frombuffer(string, np.uint8) == 32)
+        return np.concatenate([[0], spaces + 1, [len(string) + 1]]).astype(np.int32)
+
     def hashes(self, units) -> np.ndarray:
         """Hash of the gram that starts at each unit."""
         if self.words:
@@ -124,18 +131,20 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(dk, th, n, sha, anchors) of every document; sha is of its units, words joined by one space."""
+    """(dk, th, n, sha, anchors, times) of every document; sha is of its units, words joined by one space."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, sha, anchors = [], [], []
+        n, sha, anchors, times = [], [], [], []
         for data in batch.column("data").to_pylist():
             units = shape.units(data)
             n.append(len(units))
             sha.append(hashlib.sha256(shape.pack(units, 0, len(units))).hexdigest())
-            anchors.append(shape.runs(units)[2])
-        return pa.RecordBatch.from_arrays([batch.column("dk"), batch.column("th"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), _lists(anchors)], names=["dk", "th", "n", "sha", "anchors"])
+            own, count = np.unique(shape.runs(units)[2], return_counts=True)
+            anchors.append(own)
+            times.append(count)
+        return pa.RecordBatch.from_arrays([batch.column("dk"), batch.column("th"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), _lists(anchors), _lists(times)], names=["dk", "th", "n", "sha", "anchors", "times"])
 
-    return arrow_stage(docs, run, "dk bigint, th bigint, n bigint, sha string, anchors array<bigint>")
+    return arrow_stage(docs, run, "dk bigint, th bigint, n bigint, sha string, anchors array<bigint>, times array<bigint>")
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -146,43 +155,43 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def candidates(keyed: DataFrame, scanned: DataFrame, shape: Shape, bucket: int) -> DataFrame:
     """(dk, th, data, found): documents with repeated anchors; found: (anchor, number of buckets)."""
-    marks = scanned.select("dk", "th", F.explode("anchors").alias("anchor"))
-    count = marks.groupBy("anchor").agg(F.count("*").alias("c"), F.min("dk").alias("a"), F.max("dk").alias("b"))
+    marks = scanned.select("dk", "th", F.explode(F.arrays_zip("anchors", "times")).alias("m")).select("dk", "th", F.col("m.anchors").alias("anchor"), F.col("m.times").alias("times"))
+    count = marks.groupBy("anchor").agg(F.sum("times").alias("c"), F.min("dk").alias("a"), F.max("dk").alias("b"))
     again = count.where("a < b" if shape.across else "c > 1").select("anchor", F.ceil(F.col("c") / bucket).cast("int").alias("parts"))
     found = marks.join(again, "anchor").groupBy("dk", "th").agg(F.collect_set(F.struct("anchor", "parts")).alias("found"))
     return cut(keyed.join(found, ["dk", "th"]))
 
 
 def _mine(shape: Shape, data: bytes, found: list[dict]):
-    """Runs of a document with a repeated anchor: (start, windows, anchor, parts, packed, lead)."""
+    """Runs of a document with a repeated anchor: (start, windows, anchor, parts, packed, lead, anchor's place in it)."""
     units = shape.units(data)
     start, windows, anchor, spot = shape.runs(units)
     parts = {f["anchor"]: f["parts"] for f in found}
     for i in np.flatnonzero(np.isin(anchor, np.fromiter(parts, np.int64, len(parts)))):
         s, n, a = int(start[i]), int(windows[i]), int(anchor[i])
-        yield s, n, a, parts[a], shape.pack(units, s, s + n + shape.length - 1), shape.lead(units, int(spot[i]))
+        yield s, n, a, parts[a], shape.pack(units, s, s + n + shape.length - 1), shape.lead(units, int(spot[i])), int(spot[i]) - s
 
 
 def packed(found: DataFrame, shape: Shape) -> DataFrame:
-    """(lead, anchor, part, parts, windows, packed, low, copies): equal strings of a task are merged first."""
+    """(lead, anchor, part, parts, windows, spot, packed, low, copies): equal strings of a task are merged first."""
     import xxhash
 
-    schema = pa.schema([("lead", pa.int64()), ("anchor", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("windows", pa.int32()), ("packed", pa.binary()), ("low", pa.int64()), ("copies", pa.int64())])
+    schema = pa.schema([("lead", pa.int64()), ("anchor", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("windows", pa.int32()), ("spot", pa.int32()), ("packed", pa.binary()), ("low", pa.int64()), ("copies", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
         size = 0
 
         def emit() -> pa.RecordBatch:
-            rows = [(v[5], v[0], xxhash.xxh3_64_intdigest(p) % v[1], v[1], v[2], p, v[3], v[4]) for p, v in held.items()]
+            rows = [(v[5], v[0], xxhash.xxh3_64_intdigest(p) % v[1], v[1], v[2], v[6], p, v[3], v[4]) for p, v in held.items()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
             for dk, data, marks in zip(*(batch.column(c).to_pylist() for c in ("dk", "data", "found")), strict=True):
-                for _, n, a, parts, string, lead in _mine(shape, data, marks):
+                for _, n, a, parts, string, lead, spot in _mine(shape, data, marks):
                     if (v := held.get(string)) is None:
-                        held[string] = [a, parts, n, dk, 1, lead]
+                        held[string] = [a, parts, n, dk, 1, lead, spot]
                         size += len(string) + 200
                     else:
                         v[3], v[4] = min(v[3], dk), v[4] + 1
@@ -192,7 +201,7 @@ def packed(found: DataFrame, shape: Shape) -> DataFrame:
         if held:
             yield emit()
 
-    return found.select("dk", "data", "found").mapInArrow(run, "lead bigint, anchor bigint, part int, parts int, windows int, packed binary, low bigint, copies bigint")
+    return found.select("dk", "data", "found").mapInArrow(run, "lead bigint, anchor bigint, part int, parts int, windows int, spot int, packed binary, low bigint, copies bigint")
 
 
 def places(found: DataFrame, shape: Shape) -> DataFrame:
@@ -201,7 +210,7 @@ def places(found: DataFrame, shape: Shape) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows = []
         for dk, th, data, marks in zip(*(batch.column(c).to_pylist() for c in ("dk", "th", "data", "found")), strict=True):
-            rows += [(dk, th, s, *fingerprint(string)) for s, _, _, _, string, _ in _mine(shape, data, marks)]
+            rows += [(dk, th, s, *fingerprint(string)) for s, _, _, _, string, _, _ in _mine(shape, data, marks)]
         if not rows:
             return None
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["dk", "th", "start", "f1", "f2"])
@@ -216,43 +225,65 @@ def fingerprint(string: bytes) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
-#: One packed string of a bucket: its units, number of windows, smallest document, copies.
-Entry = tuple[bytes | list[bytes], int, int, int]
-#: Per string and offset: (smallest document, copies) of the equal windows in the bucket.
-Judge = Callable[[Shape, list[Entry]], list[list[tuple[int, int]]]]
+#: One packed string of a bucket: itself, number of windows, its anchor's place, smallest document, copies.
+Entry = tuple[bytes, int, int, int, int]
+#: Finds classes of equal windows among (string number, window bytes) of one distance to the anchor.
+Classes = Callable[[list[tuple[bytes, int]]], Iterator[list[int]]]
 
 
-def judged(strings: DataFrame, shape: Shape, judge: Judge, whole: bool) -> DataFrame:
-    """Read sorted buckets one at a time.
+def _equal(shape: Shape, group: list[Entry], classes: Classes) -> list[list[tuple[int, int]]]:
+    """(smallest document, copies) of the equal windows in the bucket, for each string and window.
 
-    ``whole`` buckets hold all windows of their anchor: (f1, f2, first, last,
-    low) runs of windows that repeat, low being the smallest document.  Else
-    (f1, f2, offset, w1, w2, low, copies): one row a window, with its fingerprint.
+    Equal windows lie at the same distance to their anchor, so one distance is
+    looked at after the other: beside the strings, memory holds one window each.
+    """
+    out = [[(g[3], g[4])] * g[1] for g in group]
+    edges = [shape.edges(g[0]) for g in group]
+    for back in range(max(g[2] for g in group) + 1):
+        rows = []
+        for i, (string, n, spot, _, _) in enumerate(group):
+            if 0 <= (o := spot - back) < n:
+                rows.append((string[edges[i][o] : edges[i][o + shape.length] - shape.words], i))
+        if len(rows) > 1:
+            for same in classes(rows):
+                got = (min(group[i][3] for i in same), sum(group[i][4] for i in same))
+                for i in same:
+                    out[i][group[i][2] - back] = got
+    return out
+
+
+def judged(strings: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
+    """Read sorted buckets one at a time: (f1, f2, first, last, low, copies, w1, w2).
+
+    Of an anchor with one bucket: runs of windows that repeat, low being the
+    smallest document.  Of one dealt over several: a row a window, with its
+    fingerprint (w1, w2) and its copies in the bucket.
     """
 
-    def close(entries: dict[bytes, list[int]]) -> list[tuple]:
-        group = [(shape.units(p), v[0], v[1], v[2]) for p, v in entries.items()]
+    def close(entries: dict[bytes, list[int]], parts: int) -> list[tuple]:
+        group = [(p, *v) for p, v in entries.items()]
+        each_of = _equal(shape, group, classes) if len(group) > 1 else [[(g[3], g[4])] * g[1] for g in group]
         out = []
-        for (p, (n, low, copies)), each in zip(entries.items(), judge(shape, group) if len(group) > 1 else [[(g[2], g[3])] * g[1] for g in group], strict=True):
+        for (p, n, _, low, copies), each in zip(group, each_of, strict=True):
             f = fingerprint(p)
-            if whole:
-                first, was = 0, None
-                for o in range(n + 1):
-                    now = None
-                    if o < n:
-                        least, total = each[o]
-                        if total > 1 and not (shape.across and copies == 1 and least == low):
-                            now = least if shape.across else 0
-                    if now != was:
-                        if was is not None:
-                            out.append((*f, first, o - 1, was))
-                        first, was = o, now
-            else:
-                units = shape.units(p)
-                out += [(*f, o, *fingerprint(shape.pack(units, o, o + shape.length)), *each[o]) for o in range(n)]
+            if parts > 1:
+                edge = shape.edges(p)
+                out += [(*f, o, o, *each[o], *fingerprint(p[edge[o] : edge[o + shape.length] - shape.words])) for o in range(n)]
+                continue
+            first, was = 0, None
+            for o in range(n + 1):
+                now = None
+                if o < n:
+                    least, total = each[o]
+                    if total > 1 and not (shape.across and copies == 1 and least == low):
+                        now = least if shape.across else 0
+                if now != was:
+                    if was is not None:
+                        out.append((*f, first, o - 1, was, 0, None, None))
+                    first, was = o, now
         return out
 
-    names = ["f1", "f2", "first", "last", "low"] if whole else ["f1", "f2", "offset", "w1", "w2", "low", "copies"]
+    names = ["f1", "f2", "first", "last", "low", "copies", "w1", "w2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, entries, out = None, {}, []
@@ -263,45 +294,44 @@ def judged(strings: DataFrame, shape: Shape, judge: Judge, whole: bool) -> DataF
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         for batch in batches:
-            for a, part, n, p, low, copies in zip(*(batch.column(c).to_pylist() for c in ("anchor", "part", "windows", "packed", "low", "copies")), strict=True):
-                if (a, part) != held:
+            for row in batch.select(["anchor", "part", "parts", "windows", "spot", "packed", "low", "copies"]).to_pylist():
+                if (now := (row["anchor"], row["part"], row["parts"])) != held:
                     if entries:
-                        out += close(entries)
-                    held, entries = (a, part), {}
-                    if len(out) > 50_000:
+                        out += close(entries, held[2])
+                    held, entries = now, {}
+                    if len(out) > 20_000:
                         yield emit()
-                if (v := entries.get(p)) is None:
-                    entries[p] = [n, low, copies]
+                if (v := entries.get(row["packed"])) is None:
+                    entries[row["packed"]] = [row["windows"], row["spot"], row["low"], row["copies"]]
                 else:
-                    v[1], v[2] = min(v[1], low), v[2] + copies
+                    v[2], v[3] = min(v[2], row["low"]), v[3] + row["copies"]
         if entries:
-            out += close(entries)
+            out += close(entries, held[2])
         if out:
             yield emit()
 
     return strings.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
-def repeated(strings: DataFrame, shape: Shape, judge: Judge, spread: Callable[[DataFrame], DataFrame], split: bool) -> DataFrame:
+def repeated(strings: DataFrame, shape: Shape, classes: Classes, spread: Callable[[DataFrame], DataFrame], split: bool) -> DataFrame:
     """(f1, f2, first, last, low): runs of windows of each packed string that repeat."""
-    order = ["anchor", "part"]
-    out = judged(spread(strings.where("parts = 1") if split else strings).sortWithinPartitions(*order), shape, judge, True)
+    out = judged(spread(strings).sortWithinPartitions("anchor", "part"), shape, classes)
     if not split:
-        return out
-    each = judged(spread(strings.where("parts > 1")).sortWithinPartitions(*order), shape, judge, False)
-    # A window's copies in a bucket are the same on every string that holds it: one row of a bucket is enough.
+        return out.select("f1", "f2", "first", "last", "low")
+    out = cut(out)
+    each = out.where("w1 is not null")
     all_of = each.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.count("*").alias("strings"), F.max("copies").alias("most"))
-    hit = each.join(all_of.where("strings > 1 or most > 1"), ["w1", "w2"]).select("f1", "f2", F.col("offset").alias("first"), F.col("offset").alias("last"), F.col("least").alias("low"))
-    return out.unionByName(hit if shape.across else hit.withColumn("low", F.lit(0).cast("long")))
+    hit = each.join(all_of.where("strings > 1 or most > 1"), ["w1", "w2"]).select("f1", "f2", "first", "last", (F.col("least") if shape.across else F.lit(0).cast("long")).alias("low"))
+    return out.where("w1 is null").select(*hit.columns).unionByName(hit)
 
 
-def removals(docs: DataFrame, shape: Shape, judge: Judge, spread: Callable[[DataFrame], DataFrame], key: str, text: str, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, shape: Shape, classes: Classes, spread: Callable[[DataFrame], DataFrame], key: str, text: str, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(scanned, changed): every document's (dk, th, n, sha), and (dk, th, data, runs) of those that lose something."""
     keyed = _keyed(docs, key, text)
     scanned = cut(scan(keyed, shape))
     found = candidates(keyed, scanned, shape, bucket)
     split = bool(found.where(F.exists("found", lambda f: f["parts"] > 1)).limit(1).count())
-    runs = repeated(packed(found, shape), shape, judge, spread, split)
+    runs = repeated(packed(found, shape), shape, classes, spread, split)
     hits = places(found, shape).join(runs, ["f1", "f2"])
     if shape.across:
         hits = hits.where("low < dk")
@@ -350,7 +380,7 @@ def apply(changed: DataFrame, shape: Shape) -> DataFrame:
 
 def report(scanned: DataFrame, applied: DataFrame) -> DataFrame:
     """(doc_id, n, n_removed, n_spans, kept_sha256) of every document."""
-    out = scanned.drop("anchors").join(applied.select("dk", "th", "n_removed", "n_spans", "kept_sha256"), ["dk", "th"], "left")
+    out = scanned.drop("anchors", "times").join(applied.select("dk", "th", "n_removed", "n_spans", "kept_sha256"), ["dk", "th"], "left")
     return out.select(F.nullif("dk", F.lit(NULL_ID)).alias("doc_id"), "n", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
