@@ -253,10 +253,10 @@ def _equal(shape: Shape, group: list[Entry], classes: Classes) -> list[list[tupl
 
 
 def judged(strings: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
-    """Read sorted buckets one at a time: (f1, f2, first, last, low, copies, w1, w2).
+    """Read sorted buckets one at a time: (f1, f2, parts, runs), a row for each packed string.
 
     Of an anchor with one bucket: runs of windows that repeat, low being the
-    smallest document.  Of one dealt over several: a row a window, with its
+    smallest document.  Of one dealt over several: every window, with its
     fingerprint (w1, w2) and its copies in the bucket.
     """
 
@@ -268,9 +268,9 @@ def judged(strings: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
             f = fingerprint(p)
             if parts > 1:
                 edge = shape.edges(p)
-                out += [(*f, o, o, *each[o], *fingerprint(p[edge[o] : edge[o + shape.length] - shape.words])) for o in range(n)]
+                out.append((*f, parts, [(o, o, *each[o], *fingerprint(p[edge[o] : edge[o + shape.length] - shape.words])) for o in range(n)]))
                 continue
-            first, was = 0, None
+            first, was, runs = 0, None, []
             for o in range(n + 1):
                 now = None
                 if o < n:
@@ -279,19 +279,22 @@ def judged(strings: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
                         now = least if shape.across else 0
                 if now != was:
                     if was is not None:
-                        out.append((*f, first, o - 1, was, 0, None, None))
+                        runs.append((first, o - 1, was, 0, 0, 0))
                     first, was = o, now
+            if runs:
+                out.append((*f, parts, runs))
         return out
 
-    names = ["f1", "f2", "first", "last", "low", "copies", "w1", "w2"]
+    fields = ["first", "last", "low", "copies", "w1", "w2"]
+    kind = pa.list_(pa.struct([(f, pa.int64()) for f in fields]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, entries, out = None, {}, []
 
         def emit() -> pa.RecordBatch:
-            cols = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+            f1, f2, parts, runs = zip(*out, strict=True)
             out.clear()
-            return pa.RecordBatch.from_arrays(cols, names=names)
+            return pa.RecordBatch.from_arrays([pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(parts, pa.int32()), pa.array([[dict(zip(fields, r, strict=True)) for r in x] for x in runs], kind)], names=["f1", "f2", "parts", "runs"])
 
         for batch in batches:
             for row in batch.select(["anchor", "part", "parts", "windows", "spot", "packed", "low", "copies"]).to_pylist():
@@ -299,7 +302,7 @@ def judged(strings: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
                     if entries:
                         out += close(entries, held[2])
                     held, entries = now, {}
-                    if len(out) > 20_000:
+                    if len(out) > 5_000:
                         yield emit()
                 if (v := entries.get(row["packed"])) is None:
                     entries[row["packed"]] = [row["windows"], row["spot"], row["low"], row["copies"]]
@@ -310,32 +313,31 @@ def judged(strings: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
         if out:
             yield emit()
 
-    return strings.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return strings.mapInArrow(run, f"f1 bigint, f2 bigint, parts int, runs array<struct<{','.join(f'{f}:bigint' for f in fields)}>>")
 
 
 def repeated(strings: DataFrame, shape: Shape, classes: Classes, spread: Callable[[DataFrame], DataFrame], split: bool) -> DataFrame:
-    """(f1, f2, first, last, low): runs of windows of each packed string that repeat."""
+    """(f1, f2, runs): of each packed string the runs of windows that repeat, as (first, last, low)."""
     out = judged(spread(strings).sortWithinPartitions("anchor", "part"), shape, classes)
+    plain = F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), r["low"].alias("low"))).alias("runs")
     if not split:
-        return out.select("f1", "f2", "first", "last", "low")
+        return out.select("f1", "f2", plain)
     out = cut(out)
-    each = out.where("w1 is not null")
-    all_of = each.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.count("*").alias("strings"), F.max("copies").alias("most"))
-    hit = each.join(all_of.where("strings > 1 or most > 1"), ["w1", "w2"]).select("f1", "f2", "first", "last", (F.col("least") if shape.across else F.lit(0).cast("long")).alias("low"))
-    return out.where("w1 is null").select(*hit.columns).unionByName(hit)
+    each = out.where("parts > 1").select("f1", "f2", F.explode("runs").alias("r")).select("f1", "f2", "r.*")
+    all_of = each.groupBy("w1", "w2").agg(F.min("low").alias("low"), F.count("*").alias("strings"), F.max("copies").alias("most"))
+    hit = each.drop("low").join(all_of.where("strings > 1 or most > 1"), ["w1", "w2"])
+    return out.where("parts = 1").select("f1", "f2", plain).unionByName(hit.groupBy("f1", "f2").agg(F.collect_list(F.struct("first", "last", "low")).alias("runs")))
 
 
 def removals(docs: DataFrame, shape: Shape, classes: Classes, spread: Callable[[DataFrame], DataFrame], key: str, text: str, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(scanned, changed): every document's (dk, th, n, sha), and (dk, th, data, runs) of those that lose something."""
+    """(scanned, changed): every document's (dk, th, n, sha), and (dk, th, data, hits) of those that may lose something."""
     keyed = _keyed(docs, key, text)
     scanned = cut(scan(keyed, shape))
     found = candidates(keyed, scanned, shape, bucket)
     split = bool(found.where(F.exists("found", lambda f: f["parts"] > 1)).limit(1).count())
     runs = repeated(packed(found, shape), shape, classes, spread, split)
     hits = places(found, shape).join(runs, ["f1", "f2"])
-    if shape.across:
-        hits = hits.where("low < dk")
-    spans = hits.groupBy("dk", "th").agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("s"), (F.col("start") + F.col("last")).alias("e"))).alias("runs"))
+    spans = hits.groupBy("dk", "th").agg(F.collect_set(F.struct("start", "runs")).alias("hits"))
     return scanned, found.select("dk", "th", "data").dropDuplicates(["dk", "th"]).join(spans, ["dk", "th"])
 
 
@@ -351,12 +353,14 @@ def apply(changed: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         gone, count, sha, spans, kept = [], [], [], [], []
-        for data, runs in zip(batch.column("data").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+        for dk, data, hits in zip(*(batch.column(c).to_pylist() for c in ("dk", "data", "hits")), strict=True):
             units = shape.units(data)
             step = np.zeros(len(units) + 1, np.int64)
-            for r in runs:
-                step[r["s"]] += 1
-                step[r["e"] + shape.length] -= 1
+            for h in hits:
+                for r in h["runs"]:
+                    if not shape.across or r["low"] < dk:
+                        step[h["start"] + r["first"]] += 1
+                        step[h["start"] + r["last"] + shape.length] -= 1
             mask = np.cumsum(step[:-1]) > 0
             edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
             first, last = edge[::2], edge[1::2]
