@@ -375,11 +375,11 @@ def apply(changed: DataFrame, shape: Shape) -> DataFrame:
                 sha.append(hashlib.sha256(b"".join(keep)).hexdigest())
                 ranges = [*zip(first.tolist(), last.tolist(), strict=True)]
             spans.append([{"start": a, "end": b} for a, b in ranges])
-            kept.append(b"".join(data[a:b] for a, b in zip([0, *(r[1] for r in ranges)], [*(r[0] for r in ranges), len(data)], strict=True)))
+            kept.append(b"".join(data[a:b] for a, b in zip([0, *(r[1] for r in ranges)], [*(r[0] for r in ranges), len(data)], strict=True)).decode("utf-8", "replace"))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.RecordBatch.from_arrays([batch.column("dk"), batch.column("th"), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["dk", "th", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+        return pa.RecordBatch.from_arrays([batch.column("dk"), batch.column("th"), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha), pa.array(spans, kind), pa.array(kept, pa.string())], names=["dk", "th", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
-    return arrow_stage(changed, run, "dk bigint, th bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return arrow_stage(changed, run, "dk bigint, th bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept string")
 
 
 def report(scanned: DataFrame, applied: DataFrame) -> DataFrame:
@@ -393,4 +393,4 @@ def rewrite(docs: DataFrame, applied: DataFrame, key: str = "doc_id", text: str
     marked = docs.withColumn("__dk", F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))).withColumn("__th", F.xxhash64(F.col(key).cast("long"), text_bytes(text)))
     new = applied.select(F.col("dk").alias("__dk"), F.col("th").alias("__th"), F.col("kept").alias("__kept"))
     out = marked.join(new, ["__dk", "__th"], "left")
-    return out.select(*[F.when(F.col("__kept").isNotNull(), F.decode("__kept", F.lit("UTF-8"))).otherwise(F.col(c)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.coalesce("__kept", c).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
