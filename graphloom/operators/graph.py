@@ -157,6 +157,7 @@ def shortest_path(edges: DataFrame, src: int, dst: int, max_hops: int = 12) -> D
     schema = "step int, from_id bigint, to_id bigint, edge_id bigint, relation string"
     if src == dst:
         return spark.createDataFrame([], schema)
+    edges = edges.withColumns({c: F.col(c).cast("long") for c in ("id", "src_id", "dst_id")})
     plain = F.when(is_typed(), 0).otherwise(1)
     hop = F.struct(plain.alias("plain"), F.col("id").alias("edge_id"), F.col("src_id").alias("s"), F.col("dst_id").alias("d"), "relation")
     both = edges.select(F.col("src_id").alias("at"), F.col("dst_id").alias("to"), hop.alias("hop")).unionByName(edges.select(F.col("dst_id").alias("at"), F.col("src_id").alias("to"), hop.alias("hop")))

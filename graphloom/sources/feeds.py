@@ -63,9 +63,14 @@ def text_of(html: str | None) -> str:
     return " ".join(" ".join(reader.parts).split())
 
 
-@F.pandas_udf("string")
-def html_to_text(html: pd.Series) -> pd.Series:
-    return html.map(text_of)
+def html_to_text(html: Column) -> Column:
+    """Text of html by a parser, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(text_of)
+
+    return run(html)
 
 
 def html_to_text_native(html: Column) -> Column:
