@@ -12,7 +12,8 @@ a bit per position marks dead ends, so the walk is linear in the piece.
 
 Cases: null text is encoded as the empty text (no tokens, hashes of nothing);
 very long pieces are walked in the same linear loop, never cut; other columns
-of the input are passed through untouched by :func:`encode_documents`.
+of the input are passed through untouched by :func:`encode_documents`, those
+named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -147,10 +148,10 @@ def encoder(path: str, pattern: str) -> ByteBPE:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """Add an array column of token ids, and the decoded bytes if ``decoded`` names a column; a narrow map, no shuffle."""
-    names = docs.columns
+    names = [c for c in docs.columns if c not in (ids, decoded)]
     src = docs.withColumn("__bpe_in", text_bytes(text))
     added = f"`{ids}` array<int>" + (f", `{decoded}` binary" if decoded else "")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + added
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names) + ", " + added
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = encoder(path, pattern)
