@@ -54,7 +54,7 @@ def scope(subfields: DataFrame, subfield: str, nodes: DataFrame, edges: DataFram
     inside = edges.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
     names = F.coalesce(mine.agg(F.collect_list("k").alias("ks")).scalar(), F.array().cast("array<string>"))
     text = F.lower(F.concat_ws(" ", "title", "raw_text"))
-    return {"nodes": nodes.join(ids, "id", "left_semi"), "edges": inside, "documents": documents.where(F.exists(names, lambda k: F.contains(text, k)))}
+    return {"nodes": nodes.join(ids, "id", "left_semi"), "edges": inside, "documents": documents.withColumn("__names", names).withColumn("__text", text).where(F.exists("__names", lambda k: F.contains(F.col("__text"), k))).drop("__names", "__text")}
 
 
 def briefing(nodes: DataFrame, edges: DataFrame, documents: DataFrame, as_of: str, days: int = 7, subfields: DataFrame | None = None, subfield: str | None = None) -> dict[str, DataFrame]:

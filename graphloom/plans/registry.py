@@ -569,7 +569,7 @@ def q_feed_entries(spark, sf):
     return feeds.parse(values(spark, f"('f', '{FEED}'), ('g', 'not xml')", "source, raw"))
 
 
-@query(r"SELECT page_id, length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))) AS n FROM pages")
+@query(r"SELECT page_id, length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))) AS n FROM pages")
 def q_html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.length(feeds.html_to_text_native(F.col("html"))).alias("n"))
 
