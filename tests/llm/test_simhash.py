@@ -103,3 +103,40 @@ def test_near_dedup_keeps_one_of_each_group(docs, rows):
     ids = [r["doc_id"] for r in got.collect()]
     assert sorted(i for i in set(ids) if i is not None) == sorted({want[i] for i in text})
     assert ids.count(2) == 2 and ids.count(None) == 1
+
+
+def test_near_dedup_of_a_large_group_of_near_copies(spark):
+    import random
+
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(4000)}"
+    base = [word() for _ in range(160)]
+    texts = {}
+    for i in range(150):
+        w = base[:]
+        for _ in range(1 + i % 7):
+            w[rng.randrange(160)] = word()
+        texts[i] = " ".join(w)
+    texts |= {i: " ".join(word() for _ in range(100)) for i in range(200, 240)}
+    df = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    marked = neardup.sketches(df).selectExpr("ones", "two").distinct()
+    assert neardup.candidates(marked).where("full").count() > 0
+    near = [(a, b) for a in texts for b in texts if a < b and jaccard(texts[a], texts[b]) >= 0.8]
+    want = set(closure(texts, near).values())
+    got = {r["doc_id"] for r in neardup.dedup(df).collect()}
+    assert want <= got and len(got - want) <= 0.05 * (len(texts) - len(want))
+
+
+def test_clusters_are_compared_in_blocks(spark):
+    rng = np.random.default_rng(2)
+    sets = {i: sorted(set(rng.choice(60, 25, replace=False).tolist())) for i in range(60)}
+    sets |= {100 + i: sorted({*sets[i][:-1], 77}) for i in range(0, 60, 3)}
+    near = [(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})]
+    pairs = [(i, np.array(s, np.int64)) for i, s in sets.items()]
+    assert closure(sets, neardup._similar(pairs, pairs, True)) == closure(sets, near)
+    wide = {i: [x + 1000 * k for x in s for k in range(90)] for i, s in sets.items()}  # several blocks
+    members = spark.createDataFrame([(7, i, s) for i, s in wide.items()], "cluster bigint, node bigint, shingles array<bigint>")
+    assert sum(map(len, wide.values())) / neardup.BLOCK > 0.5
+    got = [(r["u"], r["v"]) for r in neardup.inside_clusters(members.unionByName(members.selectExpr("8 AS cluster", "node + 1000 AS node", "shingles"))).collect()]
+    both = near + [(a + 1000, b + 1000) for a, b in near]
+    assert closure([*sets, *(i + 1000 for i in sets)], got) == closure([*sets, *(i + 1000 for i in sets)], both)
