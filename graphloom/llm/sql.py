@@ -20,4 +20,27 @@ SELECT k.conv_id, k.n AS n_turns, k.copies, string_agg('<|im_start|>' || replace
 FROM kept k JOIN i ON i.conv_id = k.conv_id GROUP BY k.conv_id, k.n, k.copies
 """
 
-SQL = {"op2_url_filter": OP2, "op4_chat_format": OP4}
+OP1 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 48), lambda k: struct_pack(k := k, h := md5(array_to_string(w[k:k + 49], ' '))))) AS x FROM d WHERE len(w) >= 50),
+lo AS (SELECT x.h AS h, min(doc_id) AS lo FROM h GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(x.k, x.k + 50)) AS p FROM h JOIN lo ON x.h = lo.h WHERE lo < doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.p) FILTER (g.p IS NULL) AS t, count(g.p) AS gone FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP8 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+h AS (SELECT doc_id, unnest(list_transform(range(0, length(x) // 2 - 399), lambda k: struct_pack(k := k, h := md5(substring(x, 2 * k + 1, 800))))) AS w FROM d WHERE length(x) >= 800),
+again AS (SELECT w.h AS h FROM h GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT doc_id, w.k AS k FROM h WHERE w.h IN (SELECT h FROM again)),
+mark AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 400 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS r FROM mark),
+span AS (SELECT doc_id, min(k) AS a, max(k) + 400 AS b FROM run GROUP BY doc_id, r),
+gap AS (SELECT s.doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) AS before FROM span s),
+cut AS (SELECT g.doc_id, string_agg(substring(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(x), 2 * max(b) + 1) AS k, sum(b - a) AS gone, count(*) AS n FROM gap g JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+SQL = {"op1_substring_dedup": OP1, "op8_suffix_dedup": OP8, "op2_url_filter": OP2, "op4_chat_format": OP4}
