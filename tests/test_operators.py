@@ -171,3 +171,38 @@ def test_streaming_append(spark, tmp_path):
     stream = spark.readStream.schema("content_hash string, ts timestamp").parquet(src)
     ingest.append_to(ingest.dedup(stream), out, str(tmp_path / "ck")).awaitTermination(60)
     assert sorted(r[0] for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+def fake_service(agency, year, start, rows):
+    import os
+
+    from graphloom.sources.awards import Busy
+
+    flag = os.path.join(os.environ.get("TMPDIR", "/tmp"), f"busy-{os.getpid()}-{agency}")
+    if start == 2 and not os.path.exists(flag):
+        open(flag, "w").close()
+        raise Busy
+    return [{"firm": f"{agency}{i}", "award_year": year} for i in range(start, min(start + rows, 5))]
+
+
+def test_paged_award_source(spark):
+    from graphloom.sources.awards import AwardSource
+
+    spark.dataSource.register(AwardSource)
+    read = spark.read.format("awards").option("agencies", "A, B").option("year", 2024).option("pageSize", 2).option("waitSeconds", 0).option("fetcher", "tests.test_operators:fake_service")
+    assert sorted(r["firm"] for r in read.load().collect()) == [f"{a}{i}" for a in "AB" for i in range(5)]
+    assert read.option("maxRecords", 3).load().where("firm like 'A%'").count() == 3
+
+
+def test_daily_store_and_reset(spark, tmp_path):
+    from graphloom.sources import stores
+
+    folder = str(tmp_path / "daily")
+    assert stores.load_daily(spark, folder, "date string, text string").count() == 0
+    for day, said in (("2024-01-01", "a"), ("2024-01-02", "b"), ("2024-01-02", "c")):
+        stores.save_daily(spark.createDataFrame([(day, said)], "date string, text string"), folder)
+    got = stores.load_daily(spark, folder, "date string, text string")
+    assert records.latest_daily(got).first()["text"] == "c" and got.count() == 2
+    with pytest.raises(ValueError):
+        stores.reset(spark, str(tmp_path), ("daily",))
+    assert stores.reset(spark, str(tmp_path), ("daily", "none"), confirmed=True) == ["daily"]

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+import graphloom.plans.more  # noqa: F401
 from graphloom.plans.registry import ORACLE, QUERIES
 
 
