@@ -55,8 +55,10 @@ def signal_coverage(documents: DataFrame, mentions: DataFrame, short: int = 300,
     """(kind, n, examples): documents without mentions, and with a short body."""
     none = documents.join(mentions.select("content_hash").distinct(), "content_hash", "left_anti").select(F.lit("no mentions").alias("kind"), "content_hash", "doc_ord")
     thin = documents.where(F.length("raw_text").between(1, short - 1)).select(F.lit("short body").alias("kind"), "content_hash", "doc_ord")
-    rows = none.unionByName(thin).withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("doc_ord")))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= examples, F.struct("r", "content_hash")))), lambda x: x["content_hash"]).alias("examples"))
+    rows = none.unionByName(thin)
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("doc_ord"))).where(F.col("r") <= examples)
+    shown = first.groupBy("kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "content_hash"))), lambda x: x["content_hash"]).alias("examples"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n")).join(shown, "kind")
 
 
 def reading(documents: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.numeric import money
@@ -112,7 +112,7 @@ def restore(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, D
 
 def latest_daily(daily: DataFrame) -> DataFrame:
     """The sidecar with the greatest date. daily: (date, ...)."""
-    return daily.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("date")))).where("__r = 1").drop("__r") if daily.isStreaming else daily.orderBy(F.desc("date")).limit(1)
+    return daily.orderBy(F.desc("date")).limit(1)
 
 
 def html_graph(nodes: DataFrame) -> DataFrame:
