@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_stage, cut
+from graphloom.llm.common import arrow_stage, cut, in_batches
 
 SAMPLE = 4096
 TARGET = 0.96
@@ -205,7 +205,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["qvid", "vid", "score"])
                 found = ([], [], [])
 
-    met = cells.mapInArrow(score, "qvid bigint, vid bigint, score double").groupBy("qvid", "vid").agg(F.max("score").alias("score"))
+    met = in_batches(cells, score, "qvid bigint, vid bigint, score double").groupBy("qvid", "vid").agg(F.max("score").alias("score"))
     best = Window.partitionBy("qvid").orderBy(F.desc("score"), "vid")
     short = met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     known = short.join(distinct.select("vid", "ids"), "vid").select("qvid", "score", F.explode("ids").alias("vec_id"))

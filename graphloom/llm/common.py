@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,6 +45,28 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch: what a Python worker holds of its input at once.
+BATCH_BYTES = 8 << 20
+
+
+def tidy() -> None:
+    """Give freed memory back: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size, tidied up at the end of each task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return df.mapInArrow(tidied, schema)
+
+
 def arrow_stage(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Map Arrow batches one by one; ``fn`` may return None for no rows."""
 
@@ -52,7 +76,7 @@ def arrow_stage(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 def text_bytes(col: str = "text"):

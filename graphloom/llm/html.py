@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_stage, cut
+from graphloom.llm.common import arrow_stage, cut, in_batches
 from graphloom.llm.urlfilter import host_of
 
 BROADCAST_BYTES = 8 << 20
@@ -327,8 +327,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["host", "shape"])
 
     salt = F.pmod(F.xxhash64("shape"), F.lit(SALTS))
-    first = distinct.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", "shape").select("host", "shape").mapInArrow(merge, "host string, shape string")
-    whole = first.repartition("host").sortWithinPartitions("host", "shape").mapInArrow(merge, "host string, shape string")
+    first = in_batches(distinct.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", "shape").select("host", "shape"), merge, "host string, shape string")
+    whole = in_batches(first.repartition("host").sortWithinPartitions("host", "shape"), merge, "host string, shape string")
     weight = shaped.select("host", F.explode("mass").alias("m")).groupBy("host", "m.path").agg(F.sum("m.size").alias("size"))
     heaviest = weight.groupBy("host").agg(F.max_by("path", F.struct("size", "path")).alias("path"))
 

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_stage
+from graphloom.llm.common import arrow_stage, tidy
 
 UNKNOWN = "und"
 #: Rows of each language in the training sample, at most about: a documented bound.
-PER_LANGUAGE = 600
+PER_LANGUAGE = 400
 DIMS = 4096
 BLOCK = 1 << 20
 #: Families of common languages.
@@ -64,11 +64,11 @@ def features(text: str) -> np.ndarray | None:
 
 def train_pair(x: np.ndarray, y: np.ndarray, epochs: int = 30, cost: float = 8.0) -> np.ndarray:
     """Linear machine by dual coordinate descent on the squared hinge loss; y is +1 or -1. The last weight is the bias."""
-    x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     # Each side weighs alike, whatever its number of rows.
     c = np.where(y > 0, cost / max(1, (y > 0).sum()), cost / max(1, (y < 0).sum())) * len(y) / 2
     w, alpha, diag, order = np.zeros(x.shape[1]), np.zeros(len(x)), 0.5 / c, np.random.default_rng(7)
-    size = (x * x).sum(axis=1) + diag
+    size = np.einsum("ij,ij->i", x, x).astype(np.float64) + diag
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(x)):
@@ -150,8 +150,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_i
         return Model(Votes([]), {})
     x = np.stack([np.frombuffer(r["v"], np.float32) for r in sample])
     langs = np.array([r["l"] for r in sample], dtype=object)
+    del sample
     family = np.array([FAMILIES.get(name, name) for name in langs], dtype=object)
-    return Model(Votes.fit(x, family), {f: Votes.fit(x[family == f], langs[family == f]) for f in sorted(set(family))})
+    model = Model(Votes.fit(x, family), {f: Votes.fit(x[family == f], langs[family == f]) for f in sorted(set(family))})
+    del x
+    tidy()
+    return model
 
 
 def learnable(key: str = "doc_id") -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_stage, cut, text_bytes
+from graphloom.llm.common import arrow_stage, cut, in_batches, text_bytes
 from graphloom.llm.components import components
 
 SEED = 42
@@ -184,7 +184,7 @@ def link(placed: DataFrame, most: int = 3) -> DataFrame:
         if found:
             yield emit()
 
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    return in_batches(ordered, run, "a bigint, b bigint").distinct()
 
 
 def groups(docs: DataFrame, words_in_shingle: int = 3, most: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:

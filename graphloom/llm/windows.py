@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_stage, cut, mix64, text_bytes
+from graphloom.llm.common import arrow_stage, cut, in_batches, mix64, text_bytes
 
 #: Occurrences of an anchor for each bucket it is dealt over.
 BUCKET = 1 << 16
@@ -201,7 +201,7 @@ def packed(found: DataFrame, shape: Shape) -> DataFrame:
         if held:
             yield emit()
 
-    return found.select("dk", "data", "found").mapInArrow(run, "lead bigint, anchor bigint, part int, parts int, windows int, spot int, packed binary, low bigint, copies bigint")
+    return in_batches(found.select("dk", "data", "found"), run, "lead bigint, anchor bigint, part int, parts int, windows int, spot int, packed binary, low bigint, copies bigint")
 
 
 def places(found: DataFrame, shape: Shape) -> DataFrame:
@@ -313,7 +313,7 @@ def judged(strings: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
         if out:
             yield emit()
 
-    return strings.mapInArrow(run, f"f1 bigint, f2 bigint, parts int, runs array<struct<{','.join(f'{f}:bigint' for f in fields)}>>")
+    return in_batches(strings, run, f"f1 bigint, f2 bigint, parts int, runs array<struct<{','.join(f'{f}:bigint' for f in fields)}>>")
 
 
 def repeated(strings: DataFrame, shape: Shape, classes: Classes, spread: Callable[[DataFrame], DataFrame], split: bool) -> DataFrame:
