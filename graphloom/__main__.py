@@ -3,53 +3,144 @@
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.functions import text
+from graphloom.operators import curation, digest, quality
 from graphloom.plans.api import Landscape, rebuild
-from graphloom.sources import corpus, records
+from graphloom.schemas import CORRECTIONS
+from graphloom.session import cut
+from graphloom.sources import corpus, records, stores
 
 TABLES = ("documents", "mentions", "nodes", "aliases", "edges", "node_documents")
+Tables = dict[str, DataFrame]
 
 
-def _show(name: str, df: DataFrame) -> None:
-    print(f"== {name}")
-    df.show(50, truncate=60)
+def _show(tables: Tables) -> None:
+    for name, df in tables.items():
+        print(f"== {name}")
+        df.show(50, truncate=60)
 
 
-def _open(spark: SparkSession, a: argparse.Namespace) -> Landscape:
-    return Landscape(records.restore(spark, a.graph, TABLES), a.as_of)
+def _land(spark: SparkSession, a: argparse.Namespace) -> Landscape:
+    tables = records.restore(spark, a.graph, TABLES)
+    if a.subfields:
+        tables["subfields"] = spark.read.csv(a.subfields, header=True)
+    if a.runs:
+        tables["runs"] = records.run_history(spark, a.runs)
+    return Landscape(tables, a.as_of)
+
+
+def _corrections(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    if a.corrections and corpus.exists(spark, a.corrections):
+        return spark.read.schema(CORRECTIONS).json(a.corrections)
+    return spark.createDataFrame([], CORRECTIONS)
+
+
+def _rebuild(spark: SparkSession, a: argparse.Namespace) -> Tables:
+    lexicon = spark.read.csv(a.gazetteer, header=True) if a.gazetteer else spark.createDataFrame([], "surface string, canonical string, type string")
+    made = rebuild(corpus.load(spark, a.corpus), lexicon, a.as_of, corrections=_corrections(spark, a))
+    records.snapshot({n: made.tables[n] for n in TABLES}, a.graph)
+    return {"nodes": digest.leads(made.nodes, 0)}
+
+
+def _correct(spark: SparkSession, a: argparse.Namespace) -> Tables:
+    """``correct merge SURFACE CANONICAL`` or ``correct ignore SURFACE``."""
+    action, surface, *rest = a.words
+    land = Landscape({"nodes": spark.range(0), "corrections": _corrections(spark, a)}, a.as_of)
+    new = land.correct(action, surface, rest[0] if rest else None)
+    corpus.replace(new, a.corrections)
+    return {"corrections": _corrections(spark, a)}
+
+
+def _audit(spark: SparkSession, a: argparse.Namespace) -> Tables:
+    """Topic gate by the words given; ``--prune`` moves what it drops to the archive, ``--reinstate`` brings back what passes."""
+    documents = corpus.load(spark, a.corpus)
+    gate = text.is_relevant(F.concat_ws(" ", "title", "raw_text"), a.words) | curation.protected(F.col("metadata"))
+    dropped = quality.drop_counts(documents, gate)
+    if a.prune:
+        kept, gone = curation.prune(documents, gate, a.as_of)
+        corpus.append(gone, a.archive)
+        corpus.replace(kept, a.corpus)
+    if a.reinstate and corpus.exists(spark, a.archive):
+        old = spark.read.schema(corpus.FIELDS + ", archived_at STRING, archived_reason STRING").json(a.archive)
+        active, archive = curation.reinstate(corpus.load(spark, a.corpus).drop("doc_ord"), old, gate)
+        active, archive = cut(active), cut(archive)  # each is made from both tables
+        corpus.replace(active, a.corpus)
+        corpus.replace(archive, a.archive)
+    return {"active": corpus.load(spark, a.corpus).agg(F.count("*").alias("documents"))} if a.prune or a.reinstate else {"dropped": dropped}
+
+
+def _reading(spark: SparkSession, a: argparse.Namespace) -> Tables:
+    documents = corpus.load(spark, a.corpus)
+    if a.reset:
+        corpus.replace(curation.invalidate_reading(documents), a.corpus)
+        documents = corpus.load(spark, a.corpus)
+    if a.words:
+        corpus.replace(curation.mark_read(documents, spark.createDataFrame([(w,) for w in a.words], "content_hash string"), a.as_of), a.corpus)
+        documents = corpus.load(spark, a.corpus)
+    return {"reading": quality.reading(documents), "stale": quality.stale_reading(documents, a.limit)}
+
+
+def _enrich(spark: SparkSession, a: argparse.Namespace) -> Tables:
+    """``enrich PLAN.json TERM ...``: append what is on topic and new."""
+    plan, *terms = a.words
+    plans = spark.read.schema("entity string, articles array<struct<url:string,title:string,source:string,published:string,html:string>>, synthesis struct<title:string,body:string,source:string>").json(plan)
+    new = records.enrichment(plans, corpus.hashes(corpus.load(spark, a.corpus)), terms)
+    rows = new.select("source", "url", "title", "published", F.lit(a.as_of).alias("fetched_at"), "content_hash", "raw_text", F.create_map(F.lit("synthetic"), F.col("synthetic")).alias("metadata"))
+    corpus.append(rows, a.corpus)
+    return {"documents": corpus.load(spark, a.corpus).groupBy("source").count()}
+
+
+def _graph(spark: SparkSession, a: argparse.Namespace) -> Tables:
+    nodes, edges = _land(spark, a).graph(focus=a.words[0] if a.words else None, max_nodes=a.limit, min_weight=a.min_weight)
+    return {"nodes": records.html_graph(nodes).orderBy("rank"), "edges": edges}
+
+
+def _reset(spark: SparkSession, a: argparse.Namespace) -> Tables:
+    return {"deleted": spark.createDataFrame([(n,) for n in stores.reset(spark, a.graph, TABLES, a.yes)], "name string")}
+
+
+def _review(spark: SparkSession, a: argparse.Namespace) -> Tables:
+    none = spark.createDataFrame([], "node_key string")
+    return _land(spark, a).review(none, none)
+
+
+VERBS: dict[str, Callable[[SparkSession, argparse.Namespace], Tables | DataFrame]] = {
+    "rebuild": _rebuild, "snapshot": _rebuild, "correct": _correct, "audit": _audit, "reading": _reading, "enrich": _enrich, "graph": _graph, "reset": _reset, "review": _review,
+    "stats": lambda s, a: _land(s, a).nodes.orderBy(F.desc("mention_count"), "id").limit(a.limit),
+    "overview": lambda s, a: _land(s, a).overview(), "types": lambda s, a: _land(s, a).types(), "trends": lambda s, a: _land(s, a).trends(),
+    "recent": lambda s, a: _land(s, a).recent(days=a.days), "spikes": lambda s, a: _land(s, a).spikes(a.limit), "trajectory": lambda s, a: _land(s, a).trajectory(),
+    "pulse": lambda s, a: _land(s, a).pulse(a.days), "briefing": lambda s, a: _land(s, a).briefing(a.days, a.words[0] if a.words else None), "capabilities": lambda s, a: _land(s, a).capabilities(),
+    "digest": lambda s, a: {**_land(s, a).briefing(a.days), "people": digest.leads(_land(s, a).nodes)}, "history": lambda s, a: _land(s, a).history(a.limit),
+    "search": lambda s, a: _land(s, a).search(" ".join(a.words), a.limit), "path": lambda s, a: _land(s, a).path(*a.words[:2]), "node": lambda s, a: _land(s, a).node(int(a.words[0])), "adjacent": lambda s, a: _land(s, a).adjacent(int(a.words[0])),
+}
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser("graphloom")
-    p.add_argument("verb", choices=["rebuild", "stats", "overview", "trends", "recent", "spikes", "trajectory", "briefing", "search", "graph", "path", "node", "reading", "snapshot"])
+    p.add_argument("verb", choices=sorted(VERBS))
     p.add_argument("words", nargs="*")
     p.add_argument("--corpus", default="corpus.jsonl")
+    p.add_argument("--archive", default="archive.jsonl")
     p.add_argument("--gazetteer", help="CSV of surface, canonical, type")
-    p.add_argument("--graph", default="graph")
+    p.add_argument("--subfields", help="CSV of subfield, concept")
+    p.add_argument("--corrections", default="corrections.jsonl")
+    p.add_argument("--runs", help="run history, JSON lines")
+    p.add_argument("--graph", default="graph", help="folder of graph tables")
     p.add_argument("--as-of", default="1970-01-01")
     p.add_argument("--days", type=int, default=7)
     p.add_argument("--limit", type=int, default=20)
+    p.add_argument("--min-weight", type=int, default=2)
+    for flag in ("--prune", "--reinstate", "--reset", "--yes"):
+        p.add_argument(flag, action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("graphloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    if a.verb in ("rebuild", "snapshot"):
-        lexicon = spark.read.csv(a.gazetteer, header=True) if a.gazetteer else spark.createDataFrame([], "surface string, canonical string, type string")
-        made = rebuild(corpus.load(spark, a.corpus), lexicon, a.as_of)
-        records.snapshot({n: made.tables[n] for n in TABLES}, a.graph)
-        return
-    land = _open(spark, a)
-    if a.verb == "graph":
-        nodes, edges = land.graph(focus=a.words[0] if a.words else None, max_nodes=a.limit)
-        out = {"nodes": nodes.orderBy("rank"), "edges": edges}
-    else:
-        made = {
-            "stats": lambda: {"top": land.nodes.orderBy("mention_count", ascending=False).limit(a.limit)}, "overview": land.overview, "trends": land.trends, "recent": lambda: land.recent(days=a.days), "spikes": lambda: land.spikes(a.limit),
-            "trajectory": land.trajectory, "briefing": lambda: land.briefing(a.days), "search": lambda: land.search(" ".join(a.words), a.limit), "path": lambda: land.path(*a.words[:2]), "node": lambda: land.node(int(a.words[0])), "reading": lambda: land.overview()["reading"],
-        }[a.verb]()
-        out = made if isinstance(made, dict) else {a.verb: made}
-    for name, df in out.items():
-        _show(name, df)
+    made = VERBS[a.verb](spark, a)
+    _show(made if isinstance(made, dict) else {a.verb: made})
 
 
 if __name__ == "__main__":

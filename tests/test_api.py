@@ -82,6 +82,38 @@ def test_command_line(land, tmp_path, spark, capsys):
     from graphloom.sources import records
 
     records.snapshot({n: land.tables[n] for n in cli.TABLES}, str(tmp_path / "g"))
-    for verb in (["search", "acme"], ["graph"], ["trends"], ["path", "ann", "beta"]):
+    for verb in (["search", "acme"], ["graph"], ["trends"], ["path", "ann", "beta"], ["types"], ["digest"]):
         cli.main([*verb, "--graph", str(tmp_path / "g"), "--as-of", "2024-05-02"])
     assert "Acme Corp" in capsys.readouterr().out
+
+
+def test_command_line_on_a_corpus(spark, tmp_path):
+    path, archive, fixes, graph = (str(tmp_path / n) for n in ("c", "a", "f", "g"))
+    rows = [("h1", "Drone news", "Acme Corp flies. Acme Corp wins."), ("h2", "Cake", "Sugar.")]
+    corpus.append(spark.createDataFrame(rows, "content_hash string, title string, raw_text string").selectExpr("*", "'s' AS source"), path)
+    at = ["--corpus", path, "--archive", archive, "--corrections", fixes, "--graph", graph, "--as-of", "2024-01-01"]
+    count = lambda: corpus.load(spark, path).count()
+    cli.main(["audit", "drone", *at])
+    assert count() == 2
+    cli.main(["audit", "drone", "--prune", *at])
+    assert count() == 1
+    cli.main(["audit", "sugar", "--reinstate", *at])
+    assert count() == 2
+    cli.main(["reading", "h1", *at])
+    assert corpus.load(spark, path).where("read_fresh").count() == 1
+    cli.main(["reading", "--reset", *at])
+    assert corpus.load(spark, path).where("read_fresh").count() == 0
+    cli.main(["correct", "merge", "acme", "Acme Corp", *at])
+    cli.main(["correct", "ignore", "sugar", *at])
+    assert spark.read.json(fixes).count() == 2
+    plan = tmp_path / "plan.json"
+    plan.write_text('{"entity": "e", "articles": [{"url": "u", "title": "drones", "html": "<p>x</p>"}]}')
+    cli.main(["enrich", str(plan), "drones", *at])
+    cli.main(["enrich", str(plan), "drones", *at])
+    assert count() == 3
+    cli.main(["rebuild", *at])
+    assert spark.read.parquet(f"{graph}/nodes").count() >= 1
+    with pytest.raises(ValueError):
+        cli.main(["reset", *at])
+    cli.main(["reset", "--yes", *at])
+    assert not corpus.exists(spark, f"{graph}/nodes")
