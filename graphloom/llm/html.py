@@ -19,8 +19,9 @@ host, which adaptive execution may split.
 
 Cases: null or empty html gives empty text; pages without a host share the
 empty host; unclosed and stray tags follow the usual recovery (a new block ends
-an open paragraph, an end tag without a start is ignored); repeated rows are
-kept; other columns pass through; long pages are one linear pass.
+an open paragraph, an end tag without a start is ignored); a page
+without the groups that its host's wrapper marks is its own wrapper; repeated
+rows are kept; other columns pass through; long pages are one linear pass.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ RAW = frozenset("script style textarea title noscript template iframe svg math x
 NEVER = frozenset("head nav header footer aside form menu dialog button select option input fieldset canvas object audio video figcaption".split()) - {"figcaption"}
 #: Words in class, id or role that mark boilerplate, whole or as a beginning.
 MARKS = frozenset("ad ads adv advert adverts banner sponsor sponsored promo promotion promoted sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies notice notices consent gdpr alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments reply replies disqus respond responses discussion widget widgets pagination pager toolbar skip search contentinfo complementary".split())
-BEGIN = ("advert", "sponsor", "comment", "cookie", "sidebar", "breadcrumb", "newsletter", "navbar", "footer")
+BEGIN = ("advert", "sponsor", "comment", "cookie", "sidebar", "breadcrumb", "newsletter", "navbar", "footer", "adsby")
 ROOTS = frozenset("html body main article".split())
 HEADS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: An open paragraph ends where one of these starts.
@@ -280,6 +281,22 @@ def main_text(html: str, marker: str) -> str:
     return "\n".join(blocks)
 
 
+def kind_of(root: str) -> str:
+    """What marks a content root: its element if that is an article or the main one, else its path."""
+    last = root.rsplit("/", 1)[-1]
+    return "article" if last == "article" else "main" if last == "main" or last.endswith("*") else root
+
+
+def page_text(html: str, marker: str) -> str:
+    """By the host's wrapper; a page that lacks the wrapper's content groups is its own wrapper."""
+    text = main_text(html, marker)
+    if not text and html.strip():
+        own = kind_of(content_root(expression(html), masses(html)) or "")
+        if own != marker:
+            text = main_text(html, own)
+    return text
+
+
 def masses(html: str) -> dict[str, int]:
     """Characters of live text by path."""
     out: dict[str, int] = {}
@@ -335,9 +352,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for shape, path in zip(batch.column("shape").to_pylist(), batch.column("path").to_pylist(), strict=True):
-            root = content_root(json.loads(shape), {path: 1} if path is not None else None) or ""
-            last = root.rsplit("/", 1)[-1]
-            out.append("article" if last == "article" else "main" if last == "main" or last.endswith("*") else root)
+            out.append(kind_of(content_root(json.loads(shape), {path: 1} if path is not None else None) or ""))
         return pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape"), pa.array(out, pa.string())], names=["host", "wrapper", "marker"])
 
     return arrow_stage(whole.join(heaviest, "host", "left"), mark, "host string, wrapper string, marker string")
@@ -354,7 +369,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     schema = ", ".join(f"`{c}` {hosted.schema[c].dataType.simpleString()}" for c in carried) + ", text string, n_chars bigint"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [main_text(h, m or "") for h, m in zip(batch.column("__html").to_pylist(), batch.column("__marker").to_pylist(), strict=True)]
+        got = [page_text(h, m or "") for h, m in zip(batch.column("__html").to_pylist(), batch.column("__marker").to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(got, pa.string()), pa.array([len(g) for g in got], pa.int64())], names=[*carried, "text", "n_chars"])
 
     return arrow_stage(met.select(*carried, "__html", "__marker"), run, schema)

@@ -126,13 +126,14 @@ three<p>four<br>five &lt;x&gt;</p><script>var t="</p>";</script><div class="ad">
 
 
 def test_html_main_text(spark):
-    rows = [(1, "http://h/1", PAGE), (2, "http://h/2", "<article><p>short</p></article>"), (3, "http://h/3", None), (4, None, ""), (5, "http://m/1", "<main><p>in main</p></main><p>out</p>"), (6, "http://d/1", "<div id=menu>" + "<a>link</a>" * 9 + "</div><div class=c><p>the body of text</p><p>more</p></div><p>x"), (7, "http://t/", "just text"), (1, "http://h/1", PAGE)]
+    rows = [(1, "http://h/1", PAGE), (2, "http://h/2", "<article><p>short</p></article>"), (3, "http://h/3", None), (4, None, ""), (5, "http://m/1", "<main><p>in main</p></main><p>out</p>"), (6, "http://d/1", "<div id=menu>" + "<a>link</a>" * 9 + "</div><div class=c><p>the body of text</p><p>more</p></div><p>x"), (7, "http://t/", "just text"), (8, "http://h/8", "<div id=nav>x</div><div><p>no article here</p></div>"), (1, "http://h/1", PAGE)]
     df = spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit("clash"))
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in html.extract(df).collect()]
     text = {i: t for i, t, _ in got}
     assert len(got) == len(rows) and all(n == len(t) for _, t, n in got)
     assert text[1] == "Head & line\nOne two three\nfour five <x>\nitem\nnext"
     assert (text[2], text[3], text[4], text[5], text[6], text[7]) == ("short", "", "", "in main", "the body of text\nmore", "just text")
+    assert text[8] == "no article here"
     assert html.extract(df.limit(0)).count() == 0
 
 
