@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import dates, numeric, text
 from graphloom.operators import curation, digest, extract, graph, quality, resolve, temporal
 from graphloom.plans import testgraph as G
-from graphloom.session import table
+from graphloom.session import cut, table
 from graphloom.sources import corpus, feeds, records
 from graphloom.streaming import ingest
 
@@ -259,7 +259,7 @@ def q_keyed_mentions(spark, sf):
 def q_rebuild(spark, sf):
     """The whole way from documents to a graph; returns its nodes."""
     docs = corpus_documents(spark, sf).dropDuplicates(["content_hash"]).select("content_hash", "doc_ord", text.document_text(F.col("title"), F.col("raw_text")).alias("text"))
-    found = extract.mentions(docs, lexicon(spark))
+    found = cut(extract.mentions(docs, lexicon(spark)))
     keyed = resolve.keyed_mentions(found)
     dated = docs.select("content_hash", "doc_ord", F.lit(None).cast("date").alias("doc_date"))
     return resolve.graph(keyed, extract.relations(docs, found), dated)["nodes"].drop("first_seen", "last_seen")
