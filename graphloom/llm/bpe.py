@@ -5,7 +5,8 @@ is one character, and pyahocorasick reports every vocabulary entry that occurs
 in it.  The encoder walks from left to right taking the longest entry that is
 *compatible* with the token before it, and steps back to a shorter entry when
 it gets stuck.  Two tokens are compatible if re-encoding their joined bytes by
-the merge ranks gives exactly these two tokens; a token sequence whose adjacent
+the merge ranks gives exactly these two tokens, which is decided by undoing
+their merges along the boundary; a token sequence whose adjacent
 tokens are all compatible is the one that rank-ordered merging makes, and every
 prefix of a piece has exactly one such sequence.  Compatibility is memoised, and
 a bit per position marks dead ends, so the walk is linear in the piece.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import arrow_stage, text_bytes
 
 #: Entries of the piece and pair memories; they are emptied when full, which changes no result.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 300_000
 
 
 class ByteBPE:
@@ -48,11 +49,16 @@ class ByteBPE:
         # A vocabulary entry that merging does not rebuild from its own bytes can never be produced.
         self.automaton = ahocorasick.Automaton()
         self.whole: dict[str, int] = {}
+        self.parts: dict[int, tuple[int, int]] = {}
         for t, r in ranks.items():
-            if len(t) == 1 or self._merged(t) == [r]:
+            made, last = self._merged(t)
+            if made == [r]:
+                if last:
+                    self.parts[r] = last
                 self.whole[t.decode("latin-1")] = r
                 self.automaton.add_word(t.decode("latin-1"), (len(t), r))
         self.automaton.make_automaton()
+        self.joined = {pair: r for r, pair in self.parts.items()}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBPE:
@@ -64,24 +70,45 @@ class ByteBPE:
                     ranks[base64.b64decode(token)] = int(rank)
         return cls(ranks, pattern)
 
-    def _merged(self, data: bytes) -> list[int]:
-        """Merging by rank, for two joined tokens or one: short inputs only."""
-        ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
+    def _merged(self, data: bytes) -> tuple[list[int], tuple[int, int] | None]:
+        """Merging by rank, for the vocabulary's own entries; also the two parts of the last merge."""
+        ranks, parts, last = self.ranks, [data[i : i + 1] for i in range(len(data))], None
         while len(parts) > 1:
             best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
             joined = parts[best] + parts[best + 1]
             if joined not in ranks:
                 break
+            last = (ranks[parts[best]], ranks[parts[best + 1]])
             parts[best : best + 2] = [joined]
-        return [ranks[p] for p in parts]
+        return [ranks[p] for p in parts], last
 
     def compatible(self, left: int, right: int) -> bool:
+        """Merging the joined bytes gives these two tokens again.
+
+        Merges are undone from the last to the first on the two sides of the
+        boundary; the pair breaks if, at some moment, a merge across the boundary
+        would have come before the merge undone.  Of merges of one rank the left
+        one comes first.
+        """
         key = left << 32 | right
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= MEMO_ENTRIES:
                 self.pairs.clear()
-            found = self.pairs[key] = self._merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            split, joined, limit, a, b = self.parts, self.joined, 1 << 60, left, right
+            while True:
+                if joined.get((a, b), limit) < limit:
+                    found = False
+                    break
+                x, y = split.get(a), split.get(b)
+                if x is None and y is None:
+                    found = True
+                    break
+                if y is None or x is not None and a > b:
+                    limit, a = a, x[1]
+                else:
+                    limit, b = b + 1, y[0]
+            self.pairs[key] = found
         return found
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
@@ -90,11 +117,21 @@ class ByteBPE:
         if token is not None:
             return (token,)
         n, pairs = len(piece), self.pairs
+        # Longest matches alone, found inside the automaton: if all neighbours are compatible, the walk would end here too.
+        out = [token for _, (_, token) in self.automaton.iter_long(piece)]
+        before = out[0]
+        for token in out[1:]:
+            fits = pairs.get(before << 32 | token)
+            if not (self.compatible(before, token) if fits is None else fits):
+                break
+            before = token
+        else:
+            return tuple(out)
         starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, (length, token) in self.automaton.iter(piece):
             starting[end - length + 1].append((length, token))  # lengths ascend for each start
         dead = bytearray(n + 1)
-        out: list[int] = []
+        out = []
         path: list[tuple[int, int]] = []  # position and number of choices left there
         at, left = 0, len(starting[0]) if n else 0
         while at < n:

@@ -31,6 +31,15 @@ def test_bpe_equals_the_library(tokens):
         assert ours.decode(ids) == t.encode()
 
 
+def test_compatibility_equals_merging(tokens):
+    ours, rng = tokens[0], random.Random(3)
+    ids = sorted(ours.whole.values())
+    for most in (300, 2000, len(ids)):
+        for _ in range(3000):
+            a, b = rng.choice(ids[:most]), rng.choice(ids[:most])
+            assert ours.compatible(a, b) == (ours._merged(ours.tokens[a] + ours.tokens[b])[0] == [a, b])
+
+
 def test_bpe_memory_may_be_emptied(tokens, monkeypatch):
     ours, theirs = tokens
     monkeypatch.setattr(bpe, "MEMO_ENTRIES", 3)
