@@ -121,25 +121,23 @@ def place(fps: DataFrame) -> DataFrame:
 
 
 def _forest(homes: np.ndarray, others: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Spanning links between homes and all fingerprints at the anchor, at ``most`` bits apart."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-    step = max(1, (1 << 20) // max(1, len(others)))
-    for at in range(0, len(homes), step):
-        part = homes[at : at + step]
-        near = np.bitwise_count(part[:, None] ^ others[None, :]) <= most
-        for i, j in zip(*np.nonzero(near), strict=True):
-            a, b = int(part[i]), int(others[j])
-            if a != b and (ra := top(a)) != (rb := top(b)):
-                parent[ra] = rb
-                links.append((a, b))
+    """Spanning links between homes and all fingerprints at the anchor, at ``most`` bits apart.
+
+    Labels tell what is joined already, so a home looks at labels it doesn't
+    share, not at every partner.
+    """
+    others = np.unique(others)
+    label = np.arange(len(others))
+    links: list[tuple[int, int]] = []
+    for x in np.unique(homes):
+        me = int(np.searchsorted(others, x))
+        near = np.flatnonzero(np.bitwise_count(others ^ x) <= most)
+        near = near[label[near] != label[me]]
+        if not len(near):
+            continue
+        apart, first = np.unique(label[near], return_index=True)
+        links += [(int(x), int(others[near[i]])) for i in first]
+        label[np.isin(label, apart)] = label[me]
     return links
 
 
