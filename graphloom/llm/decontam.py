@@ -3,12 +3,13 @@
 A document is contaminated by a benchmark item if one of its windows of the
 item's number of words has a weighted similarity (sum of the smaller over sum
 of the larger multiplicities of their five-word shingles) of 0.8 or more with
-the item.  Windows that share no shingle with an item have similarity zero, so
-only windows that a shared shingle puts in line with an item of their size are
-fingerprinted; none is lost by that.  Window and item fingerprints meet in an
-equi-join on size and on one of ``RADIUS + 1`` blocks of the fingerprint: two
-fingerprints within the radius agree on a block at least.  The similarity is
-then computed exactly on the shingles.
+the item.  Every start of a window is considered, in line with the item or not.
+A window of the wanted similarity has a least number of places whose shingle
+occurs in items of its size (the overlap that the threshold asks for), so only
+windows around that many hits are fingerprinted; none is lost by that.  Window
+and item fingerprints meet in an equi-join on size and on one of ``RADIUS + 1``
+blocks of the fingerprint: two fingerprints within the radius agree on a block
+at least.  The similarity is then computed exactly on the shingles.
 
 The items' shingles are broadcast only if they are ``BROADCAST_ROWS`` or fewer,
 by count; else they are joined by shuffle.  Documents are exploded to one
@@ -67,6 +68,20 @@ def weighted_similarity(a: str, b: str) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def starts_of(k: int, threshold: float) -> Column:
+    """Starts of all windows with enough hits to be similar; of a document of n words, ``at`` are the places, in order, of its hits for a size.
+
+    A similarity of t takes t / (1 + t) of the shingles of both sides in common,
+    and a window with that many hits lies around as many successive places; each
+    run of places adds the starts after its predecessor's.
+    """
+    last = F.greatest(F.lit(0), F.col("n") - F.col("size"))
+    long = F.least(F.col("n"), F.col("size")) - (k - 1)
+    need = F.greatest(F.lit(1), F.ceil(F.lit(threshold / (1 + threshold)) * (long + F.col("size") - (k - 1)) - 1e-6).cast("int"))
+    runs = F.transform(F.slice("at", 1, F.greatest(F.lit(0), F.size("at") - need + 1)), lambda p, i: F.struct(F.greatest(F.lit(0), F.get(F.col("at"), i + need - 1) - long + 1, F.coalesce(F.get(F.col("at"), i - 1) + 1, F.lit(0))).alias("low"), F.least(p, last).alias("high")))
+    return F.flatten(F.transform(F.filter(runs, lambda r: r["low"] <= r["high"]), lambda r: F.sequence(r["low"], r["high"])))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, th, item_id, start, similarity): the best window of each document and item; th is a hash of the row."""
     items = benchmark.select(F.col(item).alias("item_id"), words_of(F.col(item_text)).alias("words")).withColumn("size", F.size("words")).where("size > 0").withColumn("k", F.least("size", F.lit(SHINGLE)))
@@ -82,13 +97,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 
 def _matches(keyed: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
     known = cut(items.select("item_id", "size", grams_of("words", k).alias("item_grams")).withColumn("item_fp", simhash(F.col("item_grams"))))
-    seeds = known.select("size", F.posexplode("item_grams").alias("offset", "gram")).distinct()
+    seeds = known.select("size", F.explode("item_grams").alias("gram")).distinct()
     if seeds.count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
     worded = keyed.withColumn("words", words_of(F.col("text")))
     marks = worded.select("doc_id", "th", F.size("words").alias("n"), F.posexplode(grams_of("words", k)).alias("pos", "gram"))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.col("n") - F.col("size")))
-    hits = cut(marks.join(seeds, "gram").groupBy("doc_id", "th").agg(F.collect_set(F.struct(start.alias("start"), "size")).alias("spans")))
+    met = marks.join(seeds, "gram").groupBy("doc_id", "th", "n", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    around = met.withColumn("starts", starts_of(k, threshold)).where(F.size("starts") > 0)
+    hits = cut(around.groupBy("doc_id", "th").agg(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct(s.alias("start"), F.col("size").alias("size"))))).alias("spans")))
     near = keyed.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (keyed.th == hits.th)).select("doc_id", keyed.th, "text", "spans")
     gram = near.withColumn("words", words_of(F.col("text"))).select("doc_id", "th", "spans", grams_of("words", k).alias("grams"))
     cuts = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), F.slice(F.col("grams"), s["start"] + 1, s["size"] - (k - 1)).alias("grams")))

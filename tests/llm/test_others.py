@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -174,6 +175,32 @@ def test_decontamination(spark):
     assert decontam.remove(d, b.limit(0)).count() == d.count()
 
 
+def test_decontamination_of_moved_parts(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    more = lambda n: rng.choices(vocabulary, k=n)
+    items = {k: more(n) for k, n in enumerate((59, 59, 80, 120, 6, 12))}
+    texts = {}
+    for k, w in items.items():
+        half, third = len(w) // 2, len(w) // 3
+        texts |= {10 * k: more(40) + w[half:] + w[:half] + more(40), 10 * k + 1: w[half:] + w[:half], 10 * k + 2: more(9) + w[2 * third :] + w[third : 2 * third] + w[:third] + more(3)}
+        texts |= {10 * k + 3: more(20) + w[1:], 10 * k + 4: w[3:] + w[:3] + more(7), 10 * k + 5: more(30) + w[: half + 1]}
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for d, t in texts.items():
+        for k, w in items.items():
+            at = []
+            for s in range(max(1, len(t) - len(w) + 1)):
+                a, b = grams(t[s : s + len(w)]), grams(w)
+                at.append((-(a & b).total() / (a | b).total(), s))
+            if -min(at)[0] >= 0.8:
+                want[d, k] = (min(at)[1], round(-min(at)[0], 9))
+    assert {(0, 0), (10, 1), (20, 2), (30, 3), (31, 3)} <= set(want)
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], f"{key} bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], round(r["similarity"], 9)) for r in decontam.matches(frame(texts, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == want
+
+
 def test_native_simhash_and_similarity(spark):
     grams = [3, 3, 5, -7, 1 << 62]
     df = spark.createDataFrame([(grams, [3, 5, 5]), ([], [1])], "a array<bigint>, b array<bigint>")
