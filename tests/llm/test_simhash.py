@@ -125,6 +125,26 @@ def test_near_dedup_of_a_large_group_of_near_copies(spark):
     assert want <= got and len(got - want) <= 0.05 * (len(texts) - len(want))
 
 
+def test_near_dedup_finds_every_block_edit(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 1)  # every shingle known to repeat is dealt over blocks
+    rng = random.Random(11)
+    texts, want = {}, set()
+    for i in range(450):
+        w = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(60, 300))]
+        n = len(w) // 6 - 4
+        more = [f"w{rng.randrange(4000)}" for _ in range(n)]
+        at = rng.randrange(len(w) - n // 2)
+        edited = (w + more, w[: len(w) - n], w[:at] + more[: n // 2] + w[at + n // 2 :])[i % 3]
+        line = ["one", "line", "that", "all", "have", "in", "common"]
+        texts[2 * i], texts[2 * i + 1] = " ".join(line + w), " ".join(line + edited)
+        want |= {2 * i} | ({2 * i + 1} if jaccard(texts[2 * i], texts[2 * i + 1]) < 0.8 else set())
+    assert len(want) < 600
+    got = [r["doc_id"] for r in neardup.dedup(spark.createDataFrame([*texts.items()], "doc_id bigint, text string")).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_clusters_are_compared_in_blocks(spark):
     rng = np.random.default_rng(2)
     sets = {i: sorted(set(rng.choice(60, 25, replace=False).tolist())) for i in range(60)}
