@@ -7,6 +7,7 @@ dst_id, relation, weight, strength, confidence, ...).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,8 +147,8 @@ def adjacent(nodes: DataFrame, edges: DataFrame, node_id: int, limit: int = 6) -
     return far.join(nodes.select("id", F.col("canonical_name").alias("name"), "type"), "id").orderBy(F.desc("shared_neighbors"), "id").limit(limit)
 
 
-def shortest_path(edges: DataFrame, src: int, dst: int, max_hops: int = 12) -> DataFrame:
-    """(step, from_id, to_id, edge_id, relation) of a path with fewest edges; empty if there is none.
+def shortest_path(edges: DataFrame, src: int, dst: int, max_hops: int | None = None) -> DataFrame:
+    """(step, from_id, to_id, edge_id, relation) of a path with fewest edges; empty if there is none (of ``max_hops`` edges, if given).
 
     Breadth first by frontier joins.  Every reached node keeps the smallest
     sequence of (co-occurrence?, edge id) that reaches it, so among equally
@@ -164,7 +165,7 @@ def shortest_path(edges: DataFrame, src: int, dst: int, max_hops: int = 12) -> D
     kind = both.schema["hop"].dataType.simpleString()
     seen = spark.sql(f"SELECT cast({int(src)} AS bigint) AS at, cast(array() AS array<{kind}>) AS path")
     frontier = seen
-    for _ in range(max_hops):
+    for _ in count() if max_hops is None else range(max_hops):
         step = both.join(frontier, "at").select(F.col("to").alias("at"), F.concat("path", F.array("hop")).alias("path")).join(seen.select("at"), "at", "left_anti").groupBy("at").agg(F.min("path").alias("path"))
         frontier = cut(step)
         found = frontier.where(F.col("at") == dst)

@@ -102,6 +102,12 @@ def test_whole_graph(spark):
     assert made["node_documents"].count() == sum(r["document_count"] for r in nodes.values())
 
 
+def test_shortest_path_has_no_hop_limit(spark):
+    e = spark.createDataFrame([(i, i, i + 1, "co_occurs_with") for i in range(1, 21)], "id bigint, src_id bigint, dst_id bigint, relation string")
+    assert [r["edge_id"] for r in graph.shortest_path(e, 1, 21).orderBy("step").collect()] == list(range(1, 21))
+    assert graph.shortest_path(e, 1, 21, max_hops=19).count() == 0
+
+
 def test_path_same_node_and_unreachable(spark):
     e = spark.createDataFrame([(1, 1, 2, "x"), (2, 5, 6, "x")], "id bigint, src_id bigint, dst_id bigint, relation string")
     assert graph.shortest_path(e, 1, 1).count() == 0
