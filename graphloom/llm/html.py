@@ -47,9 +47,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br img".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
 NEVER = frozenset("head nav header footer aside form menu dialog button select option input fieldset canvas object audio video figcaption".split()) - {"figcaption"}
-#: Words in class, id or role that mark boilerplate, whole or as a beginning.
+#: Words that mark boilerplate, whole or as a beginning, where they make up a whole class, id or role (see NEUTRAL).
 MARKS = frozenset("ad ads adv advert adverts banner sponsor sponsored promo promotion promoted sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies notice notices consent gdpr alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments reply replies disqus respond responses discussion widget widgets pagination pager toolbar skip search contentinfo complementary".split())
 BEGIN = ("advert", "sponsor", "comment", "cookie", "sidebar", "breadcrumb", "newsletter", "navbar", "footer", "adsby")
+#: Words that leave a mark what it is: a class or id is boilerplate if it has a mark and else only these, digits and letters.
+NEUTRAL = frozenset("site page main global top bottom left right inner outer primary secondary area bar block box container wrapper wrap holder content section panel list item items link links row col column unit slot text form button buttons icons body the my js id google".split())
+#: Elements whose id is a title's slug, and the ids that mark readers' comments all the same.
+SLUGS, READERS = frozenset("h1 h2 h3 h4 h5 h6 section".split()), frozenset(("comments", "respond", "disqus_thread"))
+CELLS = frozenset("tr td th thead tbody".split())
 ROOTS = frozenset("html body main article".split())
 HEADS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: An open paragraph ends where one of these starts.
@@ -65,12 +70,23 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 def label(tag: str, attrs: str) -> str:
     """The element's name, with ``!`` if its attributes mark it as boilerplate."""
     if attrs and "=" in attrs:
-        words = {w.lower() for m in _ATTR.finditer(attrs) for w in _WORD.findall(m[2] or m[3] or m[4] or "")}
+        words, marked = set(), False
+        for m in _ATTR.finditer(attrs):
+            value = m[2] or m[3] or m[4] or ""
+            # The id of a heading or section is the slug of its title.
+            slug = m[1].lower() == "id" and tag in SLUGS
+            for token in value.split():
+                if slug and token.lower() not in READERS:
+                    continue
+                own = {w.lower() for w in _WORD.findall(token)}
+                words |= own
+                if tag in HEADS | CELLS:
+                    own -= {"header", "side", "search", "alert"}
+                tells = {w for w in own if w in MARKS or w.startswith(BEGIN)}
+                marked |= bool(tells) and all(w in tells or w in NEUTRAL or w.isdigit() or len(w) == 1 for w in own)
         if tag in ROOTS:
-            words = {w for w in words if w.startswith("comment")} if tag != "html" and tag != "body" else set()
-        elif tag in HEADS:
-            words -= {"header", "side", "search", "alert"}
-        if words & MARKS or any(w.startswith(BEGIN) for w in words):
+            marked = marked and any(w.startswith("comment") for w in words) and tag not in ("html", "body")
+        if marked:
             return tag + "!"
         if tag in ("div", "section", "td") and "main" in words | ({"main"} if re.search(r"role\s*=\s*[\"']?main", attrs, re.I) else set()):
             return tag + "*"

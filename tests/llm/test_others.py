@@ -147,6 +147,13 @@ def test_html_main_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_article_parts_with_telling_names():
+    kept = ["<h2 id='social-costs'>x</h2>", "<h2 id='Related_work'>x</h2>", "<h2 id='comments-on-method'>x</h2>", "<section id='discussion'>x</section>", "<section id='search-algorithms'>x</section>", "<section id='side-effects'>x</section>", "<div class='entry-header'>x</div>", "<tr class='header'><td>x</td></tr>", "<div id='menu-engineering'>x</div>"]
+    gone = ["<div class='ad'>x</div>", "<div class='c AdBox'>x</div>", "<div class='cookie-notice'>x</div>", "<div class='ad-300x250'>x</div>", "<li id='comment-123'>x</li>", "<div id=sidebar-left>x</div>", "<div class='social-share-buttons'>x</div>", "<section id='comments'>x</section>", "<section class='related'>x</section>", "<p class='newsletter'>x</p>"]
+    for part in kept + gone:
+        assert html.main_text(f"<article><p>a</p>{part}</article>", "article") == ("a\nx" if part in kept else "a"), part
+
+
 def test_wrapper_alignment():
     a, b = html.expression("<ul><li>1<li>2</ul><p>x</p>"), html.expression("<ul><li>1</ul><h2>t</h2><p>x</p><p>y</p>")
     both = html.align(a, b)
