@@ -137,10 +137,20 @@ def q_evidence_filters(spark, sf):
 @query(G.SQL + ", c AS (SELECT id FROM nodes WHERE type = 'concept' ORDER BY id LIMIT 1), near AS (SELECT id FROM c UNION SELECT dst_id FROM se JOIN c ON src_id = c.id UNION SELECT src_id FROM se JOIN c ON dst_id = c.id) SELECT (SELECT count(*) FROM near) AS nodes, (SELECT count(*) FROM se WHERE src_id IN (SELECT id FROM near) AND dst_id IN (SELECT id FROM near)) AS edges".replace(", c AS", ", se AS (SELECT * FROM edges WHERE relation = 'co_occurs_with' AND (src_id * 7 + dst_id * 13) % 11 = 0), c AS"))
 def q_subfield_scope(spark, sf):
     from graphloom.plans.registry import sparse
+
+    return _subfield_scope(spark, sf, sparse)
+
+
+@query()
+def q_subfield_scope_whole(spark, sf):
+    return _subfield_scope(spark, sf, G.edges)
+
+
+def _subfield_scope(spark, sf, linked):
     from graphloom.session import cut
 
     n = cut(G.nodes(spark, sf))
-    e = cut(sparse(spark, sf, n))
+    e = cut(linked(spark, sf, n))
     first = n.where("type = 'concept'").orderBy("id").limit(1).select(F.lit("Field").alias("subfield"), F.col("canonical_name").alias("concept"))
     docs = values(spark, "('h', 't', 'b')", "content_hash, title, raw_text")
     part = digest.scope(first, "field", n, e, docs)

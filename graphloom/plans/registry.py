@@ -335,6 +335,17 @@ def q_two_hop_pairs(spark, sf):
     return graph.two_hop_pairs(sparse(spark, sf, G.nodes(spark, sf)))
 
 
+@query()
+def q_adjacent_whole(spark, sf):
+    n = G.nodes(spark, sf)
+    return graph.adjacent(n, G.edges(spark, sf, n), 5)
+
+
+@query()
+def q_two_hop_pairs_whole(spark, sf):
+    return graph.two_hop_pairs(G.edges(spark, sf, G.nodes(spark, sf)))
+
+
 CHAIN = "(1, 1, 2, 'co_occurs_with'), (2, 2, 3, 'co_occurs_with'), (3, 4, 1, 'co_occurs_with'), (4, 3, 4, 'builds'), (5, 3, 5, 'co_occurs_with'), (6, 4, 5, 'builds'), (7, 5, 6, 'builds'), (8, 8, 9, 'builds')"
 
 
