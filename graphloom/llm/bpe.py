@@ -12,7 +12,10 @@ prefix of a piece has exactly one such sequence.  Compatibility is memoised, and
 a bit per position marks dead ends, so the walk is linear in the piece.
 
 Cases: null text is encoded as the empty text (no tokens, hashes of nothing);
-very long pieces are walked in the same linear loop, never cut; other columns
+a byte that is not UTF-8 stands in the split pattern as a lone surrogate and is
+encoded, and decoded again, as that byte; repeated rows are encoded alike; an
+empty table gives an empty result; very long pieces are walked in the same
+linear loop, never cut; other columns
 of the input are passed through untouched by :func:`encode_documents`, those
 named like an added one are replaced.
 """
@@ -165,7 +168,7 @@ class ByteBPE:
         for match in self.split.findall(text):
             found = pieces.get(match)
             if found is None:
-                found = self.encode_piece(match.encode("utf-8").decode("latin-1"))
+                found = self.encode_piece(match.encode("utf-8", "surrogateescape").decode("latin-1"))
                 if size(match) <= 64:
                     if size(pieces) >= MEMO_ENTRIES:
                         pieces.clear()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a local one in local mode, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="graphloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -45,26 +45,24 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Bytes of an Arrow batch: what a Python worker holds of its input at once.
-BATCH_BYTES = 8 << 20
+#: Bytes of an Arrow batch that are turned into Python objects at once.
+SLICE_BYTES = 8 << 20
 
 
-def tidy() -> None:
-    """Give freed memory back: workers live on from task to task."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``SLICE_BYTES`` (a row at least): bounds the Python objects held, whatever the batch size set."""
+    rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` in batches of bounded size, tidied up at the end of each task."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """``mapInArrow`` over slices of bounded size; the session's settings stay as they are."""
 
-    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        tidy()
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(part for batch in batches for part in slices(batch))
 
-    return df.mapInArrow(tidied, schema)
+    return df.mapInArrow(sliced, schema)
 
 
 def arrow_stage(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

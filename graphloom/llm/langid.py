@@ -5,15 +5,18 @@ between families; within the family, one-versus-one machines separate the
 languages.  Features are hashed byte uni-, bi- and trigrams of the lower-cased
 letters of the whole text, square-rooted and scaled to unit length.
 
-Training takes a bounded sample of labelled rows (``PER_LANGUAGE`` rows of each
-language at most, chosen by a hash of their key); only their feature vectors of
-fixed length reach the driver, and the weights, whose size depends on the number
-of languages alone, travel with the tasks.  Prediction is a narrow map.
+Training takes a bounded sample of labelled rows, chosen by a hash of their key:
+about ``PER_LANGUAGE`` rows of each language, ``SAMPLE`` rows together, of the
+``LANGUAGES`` labels that occur most (rarer labels are not learned; ties go to
+the smaller label).  Only the sample's feature vectors of fixed length reach the
+driver, and the weights, whose size depends on the number of languages alone,
+travel with the tasks.  Prediction is a narrow map.  Worker code stays clear of
+BLAS, whose threads do not survive the fork of a worker.
 
 Cases: a null text, or one with no letter, is ``und`` with score 0; languages
 outside the family table are a family of their own; with one learned language
-everything else is that language, with none everything is ``und``; long texts
-are read in blocks; repeated rows are predicted alike.
+everything else is that language, with none everything is ``und``; bytes that
+are not UTF-8 are passed over; long texts are read in blocks; repeated rows are predicted alike.
 """
 
 from __future__ import annotations
@@ -26,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_stage, tidy
+from graphloom.llm.common import arrow_stage, text_bytes
 
 UNKNOWN = "und"
 #: Rows of each language in the training sample, at most about: a documented bound.
 PER_LANGUAGE = 400
+#: Labels learned, and rows of the sample, at most about: documented bounds of what reaches the driver.
+LANGUAGES, SAMPLE = 64, 8192
 DIMS = 4096
 BLOCK = 1 << 20
 #: Families of common languages.
@@ -59,7 +64,7 @@ def features(text: str) -> np.ndarray | None:
     if not letters:
         return None
     counts = np.sqrt(counts)
-    return (counts / np.linalg.norm(counts)).astype(np.float32)
+    return (counts / np.sqrt(np.einsum("i,i->", counts, counts))).astype(np.float32)
 
 
 def train_pair(x: np.ndarray, y: np.ndarray, epochs: int = 30, cost: float = 8.0) -> np.ndarray:
@@ -88,14 +93,18 @@ class Votes:
     """One-versus-one machines between names."""
 
     names: list[str]
-    weights: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
+    pairs: list[tuple[int, int]] = field(default_factory=list)
+    weights: np.ndarray | None = None  # a row for each pair, the bias last
 
     @classmethod
     def fit(cls, x: np.ndarray, labels: np.ndarray) -> Votes:
         out = cls(sorted(set(labels)))
+        rows = []
         for i, j in combinations(range(len(out.names)), 2):
             mine = (labels == out.names[i]) | (labels == out.names[j])
-            out.weights[i, j] = train_pair(x[mine], np.where(labels[mine] == out.names[i], 1.0, -1.0)).astype(np.float32)
+            out.pairs.append((i, j))
+            rows.append(train_pair(x[mine], np.where(labels[mine] == out.names[i], 1.0, -1.0)).astype(np.float32))
+        out.weights = np.stack(rows) if rows else None
         return out
 
     def decide(self, v: np.ndarray) -> tuple[str, float]:
@@ -104,8 +113,8 @@ class Votes:
         if n == 1:
             return self.names[0], 1.0
         wins, sums, least = np.zeros(n), np.zeros(n), np.full(n, np.inf)
-        for (i, j), w in self.weights.items():
-            m = float(w[:-1] @ v + w[-1])
+        margins = np.einsum("ij,j->i", self.weights[:, :-1], v) + self.weights[:, -1]
+        for (i, j), m in zip(self.pairs, margins.tolist(), strict=True):
             wins[i if m > 0 else j] += 1
             for k, s in ((i, m), (j, -m)):
                 sums[k] += s
@@ -131,20 +140,21 @@ class Model:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learn from rows with text and lang; the sample is bounded by ``per_language``."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    most = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
+    counts = {r[0]: r[1] for r in most}
     if not counts:
         return Model(Votes([]), {})
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col(lang) == name, F.lit(min(1.0, per_language / n))).otherwise(share)
+    wanted = min(per_language, max(1, SAMPLE // len(counts)))
+    shares = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, wanted / n))])
+    share = F.coalesce(shares[F.col(lang)], F.lit(0.0))
     drawn = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < share * (1 << 30)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [features(t) if t else None for t in batch.column("t").to_pylist()]
+        made = [features(t.decode("utf-8", "ignore")) for t in batch.column("t").to_pylist()]
         keep = [i for i, v in enumerate(made) if v is not None]
         return pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(keep, pa.int64())), batch.column("l").take(pa.array(keep, pa.int64())), pa.array([made[i].tobytes() for i in keep], pa.binary())], names=["k", "l", "v"])
 
-    sample = arrow_stage(rows.where(drawn).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")), run, "k string, l string, v binary").collect()
+    sample = arrow_stage(rows.where(drawn).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("l"), text_bytes(text).alias("t")), run, "k string, l string, v binary").collect()
     sample.sort(key=lambda r: (r["l"], r["k"], bytes(r["v"])))
     if not sample:
         return Model(Votes([]), {})
@@ -152,10 +162,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_i
     langs = np.array([r["l"] for r in sample], dtype=object)
     del sample
     family = np.array([FAMILIES.get(name, name) for name in langs], dtype=object)
-    model = Model(Votes.fit(x, family), {f: Votes.fit(x[family == f], langs[family == f]) for f in sorted(set(family))})
-    del x
-    tidy()
-    return model
+    return Model(Votes.fit(x, family), {f: Votes.fit(x[family == f], langs[family == f]) for f in sorted(set(family))})
 
 
 def learnable(key: str = "doc_id") -> Column:
@@ -166,11 +173,11 @@ def learnable(key: str = "doc_id") -> Column:
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add lang_pred and score; a narrow map that passes every other column through."""
     carried = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    src = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias("__langid_in"))
+    src = docs.select(*[F.col(f"`{c}`") for c in carried], text_bytes(f"`{text}`").alias("__langid_in"))
     schema = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in carried) + ", lang_pred string, score double"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [model.predict(t) for t in batch.column("__langid_in").to_pylist()]
+        got = [model.predict(t.decode("utf-8", "ignore")) for t in batch.column("__langid_in").to_pylist()]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*carried, "lang_pred", "score"])
 
     return arrow_stage(src, run, schema)

@@ -56,6 +56,29 @@ def test_bpe_over_a_table(docs, rows, tokens):
     assert bpe.token_digests(docs.limit(0), path, P.PATTERN).count() == 0
 
 
+def test_bytes_that_are_not_utf8(spark):
+    import hashlib
+
+    given = {1: b"\xff\xfeok \xe2\x82", 2: b"plain", 3: b"\x80" * 700, 4: b"a\xed\xa0\x80b"}
+    df = spark.createDataFrame([(k, v.hex()) for k, v in given.items()], "doc_id bigint, h string").selectExpr("doc_id", "cast(unhex(h) AS string) AS text")
+    got = {r["doc_id"]: r for r in bpe.token_digests(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert all(got[k]["decoded_sha256"] == hashlib.sha256(v).hexdigest() for k, v in given.items())
+    assert len(langid.predict(df, langid.Model(langid.Votes([]), {})).collect()) == 4
+
+
+def test_sample_of_languages_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = [(i, f"word{i % 7} text {'abc'[i % 3]}", f"l{i % 3 if i % 10 else 100 + i}") for i in range(400)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_language=50)
+    assert model.families.names == ["l0", "l1", "l2"]
+
+
+def test_settings_stay_as_they_are(spark, docs):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    bpe.token_digests(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 URLS = [(1, "http://WWW.X.net/en/a?q"), (2, "https://example.net/en/1"), (3, "https://a.example.net/en"), (4, "http://example.com/de/x#y"), (5, "http://notexample.com/de/x"), (6, "ftp://b.org/fr/1"), (7, "no scheme"), (8, None), (9, "http://net"), (10, "http://x.net?a://b.org/fr/"), (11, "http://a.net:80/x"), (11, "http://a.net:80/x"), (12, "://net/"), (13, "")]
 
 
