@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local one only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a local one in local mode, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="graphloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
