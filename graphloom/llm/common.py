@@ -28,21 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` under the shared folder and read it back: ends the lineage, survives lost executors."""
+    """Write ``df`` under the shared folder and read it back: ends the lineage, survives lost executors.
+
+    All such tables of an application lie in one folder of its id, which may be
+    deleted when the application has ended; :func:`drop_cut` deletes one earlier.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/graphloom-{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["cut_path"] = path
+    return out
 
 
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`cut` that nothing reads any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if path := df.__dict__.get("cut_path"):
+        drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Bytes of an Arrow batch that are turned into Python objects at once.

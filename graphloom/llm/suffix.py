@@ -1,18 +1,25 @@
 """Suffix-array dedup over bytes: range-partitioned suffixes, multikey quicksort.
 
-Each window start is a suffix, of which the leading 400 bytes matter.  Suffixes
-whose leading bytes cannot repeat are sorted out by their anchors (see
-:mod:`graphloom.llm.windows`).  The others travel, packed by runs, to ranges of
-their leading bytes whose splitters Spark samples; a bucket holds the
-suffixes that cross one anchor and sorts them by multikey quicksort, which
-leaves equal ones side by side.  Ranges never part a bucket; an anchor so
-frequent that it is dealt over several buckets is compared across their
-boundaries by window fingerprints.  Each byte covered by a string of 400 bytes
-that also starts elsewhere, the same document included, is removed.
+The array is sparse: of all suffixes, those that start at an anchor (see
+:mod:`graphloom.llm.windows`) are kept, each with the bytes before it that its
+windows of 400 bytes reach; every window crosses exactly one such suffix start,
+and suffixes whose leading 128 bytes occur once are sorted out beforehand.
+Spark samples splitters and range-partitions the suffixes by their own bytes,
+leading token first, later tokens after it, so a long run of suffixes with equal
+leading tokens is parted by the later ones (and at last by the bytes before
+the suffix); inside a range they are sorted the same way.  Suffixes that share
+their leading 128 bytes form a bucket: its windows, one distance to the suffix
+start after the other, are sorted by multikey quicksort, which leaves equal
+ones side by side.  A bucket at either end of a range may go on in the
+neighbouring one, and a bucket beyond ``BUCKET`` suffixes is cut: such pieces are
+compared across their boundaries by window fingerprints.  Each byte covered by a
+string of 400 bytes that also starts elsewhere, the same document included, is
+removed.
 
 Cases: null text is empty; texts below 400 bytes lose nothing; rows given twice
 hold each other's strings and lose them all; matches never cross documents;
-long texts are worked on in spans; extra columns do not matter.
+long texts are worked on in spans; an empty table gives an empty result; extra
+columns do not matter.
 """
 
 from __future__ import annotations
@@ -20,8 +27,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from graphloom.llm.windows import BUCKET, Shape, apply, removals, report, rewrite
+from graphloom.llm.windows import BUCKET, Deal, Shape, removals, report, rewrite
 
 WINDOW, GRAM = 400, 128
 #: Bytes that the quicksort looks at on each level.
@@ -47,17 +55,25 @@ def multikey_quicksort(rows: list[tuple[bytes, int]]) -> Iterator[list[int]]:
                 todo.append((part, at))
 
 
-def _parts(docs: DataFrame, window: int, gram: int, key: str, text: str, bucket: int) -> tuple[DataFrame, DataFrame]:
-    shape = Shape(words=False, length=window, gram=gram, across=False)
-    scanned, changed = removals(docs, shape, multikey_quicksort, lambda d: d.repartitionByRange("lead", "anchor", "part"), key, text, bucket)
-    return scanned, apply(changed, shape)
+def _by_range(strings: DataFrame) -> DataFrame:
+    """Ranges of suffixes, sorted: by the first eight bytes, the bytes after them, and last by what lies before."""
+    order = [F.col("lead"), F.expr("substring(packed, spot + 9)"), F.expr("substring(packed, 1, spot)")]
+    return strings.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def _deal(gram: int) -> Deal:
+    return Deal(_by_range, lambda r: r["packed"][r["spot"] : r["spot"] + gram], lambda r: True, True)
+
+
+def _parts(docs: DataFrame, window: int, gram: int, key: str, text: str, bucket: int, keep: bool) -> tuple[DataFrame, DataFrame]:
+    return removals(docs, Shape(words=False, length=window, gram=gram, across=False), multikey_quicksort, _deal(gram), key, text, bucket, keep)
 
 
 def dedup_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(doc_id, n, n_removed, n_spans, kept_sha256): n counts bytes."""
-    return report(*_parts(docs, window, gram, key, text, bucket))
+    return report(*_parts(docs, window, gram, key, text, bucket, False))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """``docs`` without the repeated strings; bytes of a character cut in two are replaced on decoding."""
-    return rewrite(docs, _parts(docs, window, gram, key, text, bucket)[1], key, text)
+    return rewrite(docs, _parts(docs, window, gram, key, text, bucket, True)[1], key, text)

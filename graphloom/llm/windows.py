@@ -9,14 +9,17 @@ repeat if its anchor does.  The search goes in four steps:
 2. anchors that occur more than once (in more than one document, if asked) are
    found by an aggregation, and go back to their documents by equi-joins;
 3. in those documents alone, each run of consecutive windows that shares a
-   repeated anchor is packed as one string, which travels to its anchor's
-   bucket, equal strings being merged on the way; the bucket decides about
-   each window exactly, on the strings themselves;
+   repeated anchor is packed as one string (equal strings of a task are merged)
+   and its place noted, in one pass that is written once; the strings travel to
+   buckets, which decide about each window exactly, on the strings themselves;
 4. decisions travel back by the string's 128-bit fingerprint and are applied.
 
-Anchors with more than ``BUCKET`` occurrences are dealt over several buckets by
-the hash of the packed string, and windows of different buckets are brought
-together by 128-bit window fingerprints, so no bucket grows without bound.
+How strings are dealt to buckets is the operators' choice (:class:`Deal`).  A
+bucket takes ``BUCKET`` strings at most: what belongs together but does not fit
+is cut in pieces.  A piece decides what it can by itself (a window that repeats
+inside it) and hands on one row for each *distinct* window, which meets those of
+other pieces by 128-bit fingerprints; so no group grows without bound, and the
+rows handed on follow the distinct windows of a piece, not its strings.
 A document is known by its id and a hash of its row; a null id counts as the
 greatest.
 """
@@ -33,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_stage, cut, in_batches, mix64, text_bytes
+from graphloom.llm.common import arrow_stage, cut, drop_cut, in_batches, mix64, text_bytes
 
-#: Occurrences of an anchor for each bucket it is dealt over.
-BUCKET = 1 << 16
+#: Strings of a bucket, at most (of an anchor dealt by hash: occurrences for each bucket, about).
+BUCKET = 1 << 9
 #: Windows worked on at once in a long document.
 SPAN = 1 << 20
 #: Bytes of packed strings merged in a task before they are handed on.
@@ -172,50 +175,53 @@ def _mine(shape: Shape, data: bytes, found: list[dict]):
         yield s, n, a, parts[a], shape.pack(units, s, s + n + shape.length - 1), shape.lead(units, int(spot[i])), int(spot[i]) - s
 
 
-def packed(found: DataFrame, shape: Shape) -> DataFrame:
-    """(lead, anchor, part, parts, windows, spot, packed, low, copies): equal strings of a task are merged first."""
-    import xxhash
+_MINED = pa.schema([("dk", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("lead", pa.int64()), ("anchor", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("windows", pa.int32()), ("spot", pa.int32()), ("packed", pa.binary()), ("low", pa.int64()), ("copies", pa.int64())])
+
 
-    schema = pa.schema([("lead", pa.int64()), ("anchor", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("windows", pa.int32()), ("spot", pa.int32()), ("packed", pa.binary()), ("low", pa.int64()), ("copies", pa.int64())])
+def mined(found: DataFrame, shape: Shape) -> DataFrame:
+    """Both from one pass: packed strings, equal ones of a task merged (dk is null), and where each lies (packed is null).
+
+    Strings: lead, anchor, part, parts, windows, spot, packed, low, copies;
+    places: dk, th, start and the string's fingerprint f1, f2.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
         size = 0
 
+        def columns(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+            got = dict(zip(names, zip(*rows, strict=True), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) if f.name in got else pa.nulls(len(rows), f.type) for f in _MINED], schema=_MINED)
+
         def emit() -> pa.RecordBatch:
-            rows = [(v[5], v[0], xxhash.xxh3_64_intdigest(p) % v[1], v[1], v[2], v[6], p, v[3], v[4]) for p, v in held.items()]
+            rows = [(v[5], v[0], v[7] % v[1], v[1], v[2], v[6], p, v[3], v[4]) for p, v in held.items()]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            return columns(["lead", "anchor", "part", "parts", "windows", "spot", "packed", "low", "copies"], rows)
 
         for batch in batches:
-            for dk, data, marks in zip(*(batch.column(c).to_pylist() for c in ("dk", "data", "found")), strict=True):
-                for _, n, a, parts, string, lead, spot in _mine(shape, data, marks):
+            spots = []
+            for dk, th, data, marks in zip(*(batch.column(c).to_pylist() for c in ("dk", "th", "data", "found")), strict=True):
+                for start, n, a, parts, string, lead, spot in _mine(shape, data, marks):
+                    f = fingerprint(string)
+                    spots.append((dk, th, start, *f))
                     if (v := held.get(string)) is None:
-                        held[string] = [a, parts, n, dk, 1, lead, spot]
+                        held[string] = [a, parts, n, dk, 1, lead, spot, f[1]]
                         size += len(string) + 200
                     else:
                         v[3], v[4] = min(v[3], dk), v[4] + 1
                 if size > MERGE:
                     yield emit()
                     size = 0
+                if len(spots) > 50_000:
+                    yield columns(["dk", "th", "start", "f1", "f2"], spots)
+                    spots = []
+            if spots:
+                yield columns(["dk", "th", "start", "f1", "f2"], spots)
         if held:
             yield emit()
 
-    return in_batches(found.select("dk", "data", "found"), run, "lead bigint, anchor bigint, part int, parts int, windows int, spot int, packed binary, low bigint, copies bigint")
-
-
-def places(found: DataFrame, shape: Shape) -> DataFrame:
-    """(dk, th, start, f1, f2): where each packed string lies, by its fingerprint."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows = []
-        for dk, th, data, marks in zip(*(batch.column(c).to_pylist() for c in ("dk", "th", "data", "found")), strict=True):
-            rows += [(dk, th, s, *fingerprint(string)) for s, _, _, _, string, _, _ in _mine(shape, data, marks)]
-        if not rows:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["dk", "th", "start", "f1", "f2"])
-
-    return arrow_stage(found, run, "dk bigint, th bigint, start bigint, f1 bigint, f2 bigint")
+    kinds = {"int64": "bigint", "int32": "int", "binary": "binary"}
+    return in_batches(found, run, ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in _MINED))
 
 
 def fingerprint(string: bytes) -> tuple[int, int]:
@@ -231,114 +237,173 @@ Entry = tuple[bytes, int, int, int, int]
 Classes = Callable[[list[tuple[bytes, int]]], Iterator[list[int]]]
 
 
-def _equal(shape: Shape, group: list[Entry], classes: Classes) -> list[list[tuple[int, int]]]:
-    """(smallest document, copies) of the equal windows in the bucket, for each string and window.
+def _equal(shape: Shape, group: list[Entry], classes: Classes) -> list[list[list[int]]]:
+    """The class of equal windows in the bucket, for each string and window: [smallest document, copies, members].
 
     Equal windows lie at the same distance to their anchor, so one distance is
     looked at after the other: beside the strings, memory holds one window each.
     """
-    out = [[(g[3], g[4])] * g[1] for g in group]
+    out = [[[g[3], g[4], 1] for _ in range(g[1])] for g in group]
     edges = [shape.edges(g[0]) for g in group]
-    for back in range(max(g[2] for g in group) + 1):
+    for back in range(max(g[2] for g in group) + 1 if len(group) > 1 else 0):
         rows = []
         for i, (string, n, spot, _, _) in enumerate(group):
             if 0 <= (o := spot - back) < n:
                 rows.append((string[edges[i][o] : edges[i][o + shape.length] - shape.words], i))
         if len(rows) > 1:
             for same in classes(rows):
-                got = (min(group[i][3] for i in same), sum(group[i][4] for i in same))
+                got = [min(group[i][3] for i in same), sum(group[i][4] for i in same), len(same)]
                 for i in same:
                     out[i][group[i][2] - back] = got
     return out
 
 
-def judged(strings: DataFrame, shape: Shape, classes: Classes) -> DataFrame:
-    """Read sorted buckets one at a time: (f1, f2, parts, runs), a row for each packed string.
+def _runs(shape: Shape, low: int, copies: int, each: list[list[int]]) -> list[tuple[int, int, int]]:
+    """(first, last, low) of the windows of one string that repeat, as far as its bucket knows."""
+    first, was, out = 0, None, []
+    for o in range(len(each) + 1):
+        now = None
+        if o < len(each):
+            least, total, _ = each[o]
+            if total > 1 and not (shape.across and copies == 1 and least == low):
+                now = least if shape.across else 0
+        if now != was:
+            if was is not None:
+                out.append((first, o - 1, was))
+            first, was = o, now
+    return out
 
-    Of an anchor with one bucket: runs of windows that repeat, low being the
-    smallest document.  Of one dealt over several: every window, with its
-    fingerprint (w1, w2) and its copies in the bucket.
-    """
 
-    def close(entries: dict[bytes, list[int]], parts: int) -> list[tuple]:
+_RUN = pa.list_(pa.struct([(f, pa.int64()) for f in ("first", "last", "low")]))
+_OPEN = ["w1", "w2", "low", "copies", "a1", "a2", "at"]
+
+
+class _Verdicts:
+    """What buckets have decided, as rows: runs of a string, or open windows of a piece."""
+
+    def __init__(self, shape: Shape, classes: Classes):
+        self.shape, self.classes = shape, classes
+        self.runs: list[tuple] = []
+        self.open: list[tuple] = []
+
+    def close(self, entries: dict[bytes, list[int]], whole: bool) -> None:
+        """Judge a bucket; of a piece (not ``whole``) each distinct window stays open.
+
+        A string asks again about a window that its piece does not settle: one
+        seen once, or, across documents, one whose smallest document it holds.
+        """
+        shape = self.shape
         group = [(p, *v) for p, v in entries.items()]
-        each_of = _equal(shape, group, classes) if len(group) > 1 else [[(g[3], g[4])] * g[1] for g in group]
-        out = []
+        if not group or whole and len(group) == 1 and group[0][4] == 1:
+            return
+        each_of = _equal(shape, group, self.classes)
+        told: set[int] = set()
         for (p, n, _, low, copies), each in zip(group, each_of, strict=True):
             f = fingerprint(p)
-            if parts > 1:
-                edge = shape.edges(p)
-                out.append((*f, parts, [(o, o, *each[o], *fingerprint(p[edge[o] : edge[o + shape.length] - shape.words])) for o in range(n)]))
+            if runs := _runs(shape, low, copies, each):
+                self.runs.append((*f, [dict(zip(("first", "last", "low"), r, strict=True)) for r in runs]))
+            if whole:
                 continue
-            first, was, runs = 0, None, []
-            for o in range(n + 1):
-                now = None
-                if o < n:
-                    least, total = each[o]
-                    if total > 1 and not (shape.across and copies == 1 and least == low):
-                        now = least if shape.across else 0
-                if now != was:
-                    if was is not None:
-                        runs.append((first, o - 1, was, 0, 0, 0))
-                    first, was = o, now
-            if runs:
-                out.append((*f, parts, runs))
-        return out
-
-    fields = ["first", "last", "low", "copies", "w1", "w2"]
-    kind = pa.list_(pa.struct([(f, pa.int64()) for f in fields]))
+            edge = shape.edges(p)
+            for o in range(n):
+                least, total, members = each[o]
+                asks = least == low if shape.across else total == 1
+                new = members == 1 or id(each[o]) not in told
+                if not asks and not new:
+                    continue
+                told.add(id(each[o]))
+                self.open.append((*fingerprint(p[edge[o] : edge[o + shape.length] - shape.words]), least, total if new else 0, *(f if asks else (None, None)), o))
+
+    def batches(self, least: int) -> Iterator[pa.RecordBatch]:
+        while len(self.runs) >= least and self.runs or len(self.open) >= least and self.open:
+            runs, self.runs = self.runs[:20_000], self.runs[20_000:]
+            windows, self.open = self.open[:20_000], self.open[20_000:]
+            f1, f2, r = zip(*runs, strict=True) if runs else ((), (), ())
+            more = len(windows)
+            w = list(zip(*windows, strict=True)) if windows else [()] * len(_OPEN)
+            none = [None] * more
+            cols = [pa.array([*f1, *none], pa.int64()), pa.array([*f2, *none], pa.int64()), pa.array([*r, *none], _RUN)]
+            cols += [pa.array([*([None] * len(runs)), *c], pa.int64()) for c in w]
+            yield pa.RecordBatch.from_arrays(cols, names=["f1", "f2", "runs", *_OPEN])
+
+
+VERDICT = "f1 bigint, f2 bigint, runs array<struct<first:bigint,last:bigint,low:bigint>>, " + ", ".join(f"{c} bigint" for c in _OPEN)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, entries, out = None, {}, []
 
-        def emit() -> pa.RecordBatch:
-            f1, f2, parts, runs = zip(*out, strict=True)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(parts, pa.int32()), pa.array([[dict(zip(fields, r, strict=True)) for r in x] for x in runs], kind)], names=["f1", "f2", "parts", "runs"])
+@dataclass(frozen=True)
+class Deal:
+    """How strings come to buckets: ``spread`` partitions and sorts them, ``key`` names what belongs together.
+
+    ``whole`` tells whether everything of a key that begins and ends inside a
+    task's rows is in that task; else (a key given as pieces) never.
+    """
+
+    spread: Callable[[DataFrame], DataFrame]
+    key: Callable[[dict], object]
+    whole: Callable[[dict], bool]
+    edges: bool  # the first and the last key of a task may go on in its neighbours
+
 
+def judged(strings: DataFrame, shape: Shape, classes: Classes, deal: Deal, bucket: int) -> DataFrame:
+    """Read dealt strings bucket by bucket: runs of repeating windows by string, and open windows of pieces."""
+    names = ["anchor", "part", "parts", "windows", "spot", "packed", "low", "copies"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Verdicts(shape, classes)
+        held, whole, entries = None, False, {}
+        first = True
         for batch in batches:
-            for row in batch.select(["anchor", "part", "parts", "windows", "spot", "packed", "low", "copies"]).to_pylist():
-                if (now := (row["anchor"], row["part"], row["parts"])) != held:
-                    if entries:
-                        out += close(entries, held[2])
-                    held, entries = now, {}
-                    if len(out) > 5_000:
-                        yield emit()
+            for row in batch.select(names).to_pylist():
+                if (now := deal.key(row)) != held:
+                    if held is not None:
+                        out.close(entries, whole and not (first and deal.edges))
+                        first = False
+                        yield from out.batches(20_000)
+                    held, whole, entries = now, deal.whole(row), {}
+                elif len(entries) >= bucket and row["packed"] not in entries:
+                    whole = False
+                    out.close(entries, False)
+                    yield from out.batches(20_000)
+                    entries = {}
                 if (v := entries.get(row["packed"])) is None:
                     entries[row["packed"]] = [row["windows"], row["spot"], row["low"], row["copies"]]
                 else:
                     v[2], v[3] = min(v[2], row["low"]), v[3] + row["copies"]
-        if entries:
-            out += close(entries, held[2])
-        if out:
-            yield emit()
+        if held is not None:
+            out.close(entries, whole and not deal.edges)
+        yield from out.batches(1)
 
-    return in_batches(strings, run, f"f1 bigint, f2 bigint, parts int, runs array<struct<{','.join(f'{f}:bigint' for f in fields)}>>")
+    return in_batches(deal.spread(strings.select("lead", *names)), run, VERDICT)
 
 
-def repeated(strings: DataFrame, shape: Shape, classes: Classes, spread: Callable[[DataFrame], DataFrame], split: bool) -> DataFrame:
+def repeated(verdicts: DataFrame, shape: Shape) -> DataFrame:
     """(f1, f2, runs): of each packed string the runs of windows that repeat, as (first, last, low)."""
-    out = judged(spread(strings).sortWithinPartitions("anchor", "part"), shape, classes)
-    plain = F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), r["low"].alias("low"))).alias("runs")
-    if not split:
-        return out.select("f1", "f2", plain)
-    out = cut(out)
-    each = out.where("parts > 1").select("f1", "f2", F.explode("runs").alias("r")).select("f1", "f2", "r.*")
-    all_of = each.groupBy("w1", "w2").agg(F.min("low").alias("low"), F.count("*").alias("strings"), F.max("copies").alias("most"))
-    hit = each.drop("low").join(all_of.where("strings > 1 or most > 1"), ["w1", "w2"])
-    return out.where("parts = 1").select("f1", "f2", plain).unionByName(hit.groupBy("f1", "f2").agg(F.collect_list(F.struct("first", "last", "low")).alias("runs")))
-
-
-def removals(docs: DataFrame, shape: Shape, classes: Classes, spread: Callable[[DataFrame], DataFrame], key: str, text: str, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(scanned, changed): every document's (dk, th, n, sha), and (dk, th, data, hits) of those that may lose something."""
+    windows = verdicts.where("w1 is not null")
+    known = windows.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.sum("copies").alias("total"))
+    asked = windows.where("a1 is not null").select("w1", "w2", F.col("low").alias("own"), F.col("a1").alias("f1"), F.col("a2").alias("f2"), "at")
+    hit = asked.join(known, ["w1", "w2"]).where("least < own" if shape.across else "total > 1")
+    more = hit.groupBy("f1", "f2").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"), F.col("least").alias("low"))).alias("runs"))
+    return verdicts.where("f1 is not null").select("f1", "f2", "runs").unionByName(more)
+
+
+def removals(docs: DataFrame, shape: Shape, classes: Classes, deal: Deal, key: str, text: str, bucket: int = BUCKET, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(scanned, applied): every document's (dk, th, n, sha), and what :func:`apply` gives for those that may lose something.
+
+    ``kept`` is left out unless asked for.  Both are written; what only served to make them is deleted.
+    """
     keyed = _keyed(docs, key, text)
     scanned = cut(scan(keyed, shape))
     found = candidates(keyed, scanned, shape, bucket)
-    split = bool(found.where(F.exists("found", lambda f: f["parts"] > 1)).limit(1).count())
-    runs = repeated(packed(found, shape), shape, classes, spread, split)
-    hits = places(found, shape).join(runs, ["f1", "f2"])
+    rows = cut(mined(found, shape))
+    verdicts = cut(judged(rows.where("packed is not null"), shape, classes, deal, bucket))
+    hits = rows.where("dk is not null").select("dk", "th", "start", "f1", "f2").join(repeated(verdicts, shape), ["f1", "f2"])
     spans = hits.groupBy("dk", "th").agg(F.collect_set(F.struct("start", "runs")).alias("hits"))
-    return scanned, found.select("dk", "th", "data").dropDuplicates(["dk", "th"]).join(spans, ["dk", "th"])
+    changed = found.select("dk", "th", "data").dropDuplicates(["dk", "th"]).join(spans, ["dk", "th"])
+    applied = apply(changed, shape)
+    applied = cut(applied if keep else applied.drop("spans", "kept"))
+    for done in (found, rows, verdicts):
+        drop_cut(done)
+    return scanned, applied
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
