@@ -3,8 +3,12 @@
 Each round joins every node to the smallest neighbour it knows, first on the
 side of larger neighbours, then on the other; rounds needed grow with the
 logarithm of the longest chain, not with its length.  Both steps are one
-aggregation and one equi-join, so no group is ever gathered in one task; the
-edge list is rewritten under the shared folder each round.
+aggregation, combined before the shuffle, and one equi-join with its result.
+A star's centre has as many edges as its component has nodes: the smallest
+neighbours are written before they are joined, so that both sides of the join
+are plain shuffles (or the small one is broadcast below Spark's threshold), of
+which adaptive execution splits a centre's part over many tasks.  The edge list
+is rewritten under the shared folder each round, and older ones are deleted.
 """
 
 from __future__ import annotations
@@ -16,16 +20,18 @@ from graphloom.llm.common import cut, drop_cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction of (u, v): ``large`` moves greater neighbours of u, else the smaller ones (v < u in all rows)."""
+    """One contraction of (u, v), written: ``large`` moves greater neighbours of u, else the smaller ones (v < u in all rows)."""
     if large:
         edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    low = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
     near = edges.join(low, "u")
     if large:
         moved = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    out = cut(moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    drop_cut(low)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,7 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
     flat = edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct()
     now = cut(flat)
     while True:
-        following = cut(_star(_star(now, True), False))
+        half = _star(now, True)
+        following = _star(half, False)
+        drop_cut(half)
         state = lambda df: df.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
         done = state(now) == state(following)
         drop_cut(now)

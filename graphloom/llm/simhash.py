@@ -12,12 +12,19 @@ compared per anchor, and each anchor hands on a spanning forest of the links
 it finds, never all pairs, so the output is linear in what it has read.
 
 Only distinct fingerprints travel; documents with the same fingerprint are
-joined through it.  An anchor with very many distinct fingerprints is compared
-in blocks, in memory linear in the anchor's rows.
+joined through it.  An anchor of more than ``LIMIT`` rows is not compared where
+it is met: its rows are dealt again by each byte of the other half, on which two
+fingerprints within the threshold agree in one of four at least.  What is still
+beyond ``LIMIT`` is cut in blocks of homes, each of which sees all rows of its
+anchor and byte stream past.  So a task holds ``LIMIT`` rows, whatever the
+anchor; only the work of the last step is quadratic, and it is spread.
 
 Cases: null or empty text, and text without words, has fingerprint zero and is
 linked like any other; fewer words than a shingle: the whole sequence is one
-shingle; repeated rows share a fingerprint; extra columns do not matter.
+shingle; repeated rows share a fingerprint; a null id counts as greater than any
+other and is kept: its component is the smallest id reached, null if there is
+none; ids are below 2 ** 62; very long texts are hashed in blocks; an empty table gives an empty result;
+extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -35,6 +42,10 @@ from graphloom.llm.components import components
 SEED = 42
 #: Shingles hashed before their bits are added up: bounds memory on long texts.
 BLOCK = 1 << 16
+#: Rows of one anchor that are compared in one piece.
+LIMIT = 1 << 12
+#: Ids lie below.
+NO_ID = 1 << 62
 
 
 def fingerprint(data: bytes, words_in_shingle: int = 3) -> int:
@@ -141,58 +152,132 @@ def _forest(homes: np.ndarray, others: np.ndarray, most: int) -> list[tuple[int,
     return links
 
 
-def link(placed: DataFrame, most: int = 3) -> DataFrame:
-    """(a, b): at each anchor a spanning forest of the fingerprints within ``most`` bits of one another.
+_CELL = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("anchor", pa.int64()), ("cell", pa.int32()), ("is_home", pa.bool_()), ("fp", pa.int64())])
+_CELL_DDL = "a bigint, b bigint, anchor bigint, cell int, is_home boolean, fp bigint"
+
+
+def _as_links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    u = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(u[:, 0].copy()), pa.array(u[:, 1].copy()), *(pa.nulls(len(u), f.type) for f in list(_CELL)[2:])], schema=_CELL)
+
+
+def _as_rows(anchor: np.ndarray, cell: np.ndarray, own: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(fp), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, pa.array(anchor), pa.array(cell), pa.array(own), pa.array(fp.view(np.int64))], schema=_CELL)
 
-    Rows come sorted by anchor, so a task holds one anchor at a time.
-    """
-    ordered = placed.repartition("anchor").sortWithinPartitions("anchor")
 
-    def flush(homes: list, others: list) -> list[tuple[int, int]]:
-        h = np.concatenate(homes) if homes else np.array([], np.uint64)
-        if not len(h):
-            return []
-        o = np.concatenate(others)
-        return _forest(h, o, most) if len(o) > 1 else []
+def compared(placed: DataFrame, most: int, limit: int) -> DataFrame:
+    """Links (a, b) of each (anchor, cell) up to ``limit`` rows; the rows of larger ones come back as they are (a is null)."""
+    ordered = placed.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, homes, others, found = None, [], [], []
+        # The rows of the key that may go on in the next batch; ``over`` is a key that has grown beyond the limit.
+        kept = (np.array([], np.int64), np.array([], np.int32), np.array([], bool), np.array([], np.uint64))
+        over, found = None, []
 
-        def emit() -> pa.RecordBatch:
-            u = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], names=["a", "b"])
+        def close(own: np.ndarray, fp: np.ndarray) -> None:
+            if own.any():
+                found.extend(_forest(fp[own], fp, most))
 
         for batch in batches:
-            anchor, own, fp = batch.column("anchor").to_numpy(), batch.column("is_home").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy().view(np.uint64)
-            if not len(anchor):
+            new = (batch.column("anchor").to_numpy(), batch.column("cell").to_numpy(), batch.column("is_home").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy().view(np.uint64))
+            if not batch.num_rows:
                 continue
-            edges = np.flatnonzero(np.diff(anchor)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(anchor)], strict=True):
-                if anchor[lo] != held:
-                    found += flush(homes, others)
-                    held, homes, others = anchor[lo], [], []
-                mine = fp[lo:hi]
-                if own[lo:hi].any():
-                    homes.append(mine[own[lo:hi]])
-                others.append(mine)
+            k, c, own, fp = (np.concatenate(x) for x in zip(kept, new, strict=True))
+            change = np.flatnonzero((k[1:] != k[:-1]) | (c[1:] != c[:-1])) + 1
+            first, end = np.concatenate([[0], change]), np.concatenate([change, [len(k)]])
+            several = end - first > 1
+            several[0] |= over is not None  # the first key may go on from the last batch
+            for g in np.flatnonzero(several):
+                lo, hi = int(first[g]), int(end[g])
+                here = (int(k[lo]), int(c[lo]))
+                if here == over or hi - lo > limit:
+                    over = here
+                    yield _as_rows(k[lo:hi], c[lo:hi], own[lo:hi], fp[lo:hi])
+                elif g < len(first) - 1:
+                    over = None
+                    if hi - lo > 1:
+                        close(own[lo:hi], fp[lo:hi])
+            at = int(first[-1])
+            if over is not None and over != (int(k[at]), int(c[at])):
+                over = None
+            kept = tuple(x[len(k) if over else at :] for x in (k, c, own, fp))
             if found:
-                yield emit()
-        found += flush(homes, others)
+                yield _as_links(found)
+                found.clear()
+        if len(kept[0]) > 1:
+            close(kept[2], kept[3])
         if found:
-            yield emit()
+            yield _as_links(found)
+
+    return in_batches(ordered, run, _CELL_DDL)
+
+
+def _by_bytes(rows: DataFrame) -> DataFrame:
+    """Each row of an anchor at the four bytes of the half that the anchor leaves free."""
+    other = F.when(F.shiftright("anchor", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
+    cells = F.array(*[F.shiftrightunsigned(other, 8 * i).bitwiseAND(255).cast("int") + 256 * i for i in range(4)])
+    return rows.select("anchor", F.explode(cells).alias("cell"), "is_home", "fp")
+
+
+def in_blocks(rows: DataFrame, most: int, limit: int) -> DataFrame:
+    """(a, b) of (anchor, cell) groups of any size: blocks of homes, which all rows of the group pass."""
+    sizes = rows.groupBy("anchor", "cell").agg(F.ceil(F.count_if("is_home") / limit).cast("int").alias("blocks")).where("blocks > 0")
+    dealt = rows.join(sizes, ["anchor", "cell"])
+    homes = dealt.where("is_home").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
+    others = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+    met = homes.unionByName(others).select("anchor", "cell", "block", "side", "fp").repartition("anchor", "cell", "block").sortWithinPartitions("anchor", "cell", "block", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, homes = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tag = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("anchor", "cell", "block", "side")])
+            fp, found = batch.column("fp").to_numpy().view(np.uint64), []
+            edges = np.flatnonzero((np.diff(tag, axis=1) != 0).any(axis=0)) + 1
+            for lo, hi in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if (now := tuple(tag[:3, lo])) != held:
+                    held, homes = now, []
+                if tag[3, lo] == 0:
+                    homes.append(fp[lo:hi])
+                    continue
+                own = np.unique(np.concatenate(homes)) if homes else fp[:0]
+                for at in range(lo, hi, limit):
+                    part = fp[at : min(hi, at + limit)]
+                    if len(own):
+                        found += _forest(own, np.concatenate([own, part]), most)
+            if found:
+                yield _as_links(found)
+
+    return in_batches(met, run, _CELL_DDL)
+
 
-    return in_batches(ordered, run, "a bigint, b bigint").distinct()
+def link(placed: DataFrame, most: int = 3, limit: int = LIMIT) -> DataFrame:
+    """(a, b): at each anchor spanning links of the fingerprints within ``most`` bits of one another."""
+    done = [cut(compared(placed.withColumn("cell", F.lit(0)), most, limit))]
+    rest = done[0].where("a is null").select("anchor", "is_home", "fp")
+    if not rest.isEmpty():
+        done.append(cut(compared(_by_bytes(rest), most, limit)))
+        rest = done[1].where("a is null").select("anchor", "cell", "is_home", "fp")
+        if not rest.isEmpty():
+            done.append(in_blocks(rest, most, limit))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.where("a is not null").select("a", "b").distinct()
 
 
-def groups(docs: DataFrame, words_in_shingle: int = 3, most: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, words_in_shingle: int = 3, most: int = 3, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable through links."""
     if most != 3:
         raise ValueError("the covering is laid out for three differing bits")
     marked = cut(fingerprints(docs, words_in_shingle, key, text))
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    pairs = link(place(nodes.select("fp")), most)
+    # A fingerprint that only rows without an id have is a node of its own, beyond all ids.
+    own = F.lit(NO_ID) + F.xxhash64("fp").bitwiseAND((1 << 61) - 1)
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).select("fp", F.coalesce("node", own).alias("node")))
+    pairs = link(place(nodes.select("fp")), most, limit)
     a, b = (nodes.select(F.col("fp").alias(c), F.col("node").alias(n)) for c, n in (("a", "u"), ("b", "v")))
     comp = components(pairs.join(a, "a").join(b, "b").select("u", "v"))
     of_node = nodes.join(comp, nodes.node == comp.id, "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(of_node, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(of_node, "fp").select("doc_id", "fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))

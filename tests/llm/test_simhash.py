@@ -48,7 +48,18 @@ def test_groups(docs, rows):
     assert len(got) == len(rows)
 
 
-def test_every_pair_meets_at_an_anchor(spark):
+def test_ids_that_are_null(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(None, t), (7, t), (None, "alone here"), (3, t + " x"), (None, None), (5, "")], "doc_id bigint, text string")
+    fps = {r: slow_fingerprint(r) for r in (t, "alone here", t + " x", None, "")}
+    near = (fps[t] ^ fps[t + " x"]).bit_count() <= 3
+    got = sorted(((r["doc_id"], r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.groups(df).collect()), key=str)
+    low = 3 if near else 7
+    assert got == sorted([(None, fps[t], low), (7, fps[t], low), (None, fps["alone here"], None), (3, fps[t + " x"], 3), (None, 0, 5), (5, 0, 5)], key=str)
+
+
+@pytest.mark.parametrize("limit", [1 << 12, 5, 2])
+def test_every_pair_meets_at_an_anchor(spark, limit):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = set(base.tolist())
@@ -56,9 +67,12 @@ def test_every_pair_meets_at_an_anchor(spark):
         for _ in range(6):
             bits = rng.choice(64, rng.integers(1, 5), replace=False)
             fps.add(int(x) ^ int(sum(1 << int(b) for b in bits)))
+    # One dense group: all of it at the same anchors.
+    for _ in range(60):
+        fps.add(int(base[0]) ^ int(sum(1 << int(b) for b in rng.choice(32, 3, replace=False))))
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >= 1 << 63 else x for x in fps]
-    links = simhash.link(simhash.place(spark.createDataFrame([(s,) for s in signed], "fp bigint")))
+    links = simhash.link(simhash.place(spark.createDataFrame([(s,) for s in signed], "fp bigint")), limit=limit)
     pairs = [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3]
     got = [(r["a"], r["b"]) for r in links.collect()]
     assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in got)
