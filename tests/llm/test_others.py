@@ -108,12 +108,13 @@ def test_nearest_finds_most_and_skips_bad_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
     x[100:160] = x[100]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, [None] + [1.0] * 15), (9005, [1.0] * 3), (9006, [float("inf")] * 16), (9007, [])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000, [2.0] * 3)] + [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, [None] + [1.0] * 15), (9006, [float("inf")] * 16), (9007, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("v", F.lit(1))
     got: dict[int, list] = {}
     for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    asked = np.arange(0, 3000, 20)
+    asked = np.arange(0, 3001, 20)
+    x = np.vstack([x, np.array([2.0] * 3 + [0.0] * 13, np.float32)])  # a shorter vector ends in zeros
     scores = x[asked].astype(np.float64) @ x.T.astype(np.float64)
     hits = 0
     for row, q in zip(scores, asked, strict=True):
@@ -121,7 +122,7 @@ def test_nearest_finds_most_and_skips_bad_vectors(spark):
         mine = sorted(got[int(q)])
         assert [m[0] for m in mine] == list(range(1, 21)) and all(abs(row[v] - s) < 1e-9 for _, v, s in mine)
         assert [(-s, v) for _, v, s in mine] == sorted((-s, v) for _, v, s in mine)
-        hits += len(set(np.lexsort((np.arange(3000), -row))[:20].tolist()) & {m[1] for m in mine})
+        hits += len(set(np.lexsort((np.arange(3001), -row))[:20].tolist()) & {m[1] for m in mine})
     assert set(got) == set(asked.tolist()) and hits / (20 * len(asked)) >= 0.9
 
 
@@ -132,6 +133,51 @@ def test_nearest_with_few_rows(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 2 == 0).count() == 0
 
 
+def test_nearest_with_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [5.0, 0.0]), (0, [3.0, 0.0]), (7, [1.0, 0.0]), (0, [1.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 20 == 0).collect()
+    lists = Counter()
+    for r in got:
+        lists[r["query_id"], r["rank"], r["vec_id"], r["score"]] += 1
+    one = [(1, 1, 5.0), (2, 0, 3.0), (3, 1, 2.0), (4, 0, 1.0), (5, 7, 1.0)]  # of [1, 0], which is there twice
+    two = [(1, 1, 15.0), (2, 1, 6.0), (3, 0, 3.0), (4, 0, 3.0), (5, 7, 3.0)]  # of [3, 0]
+    assert lists == Counter([(0, *x) for x in one] * 2 + [(0, *x) for x in two])
+
+
+def test_nearest_ties_go_to_the_smaller_id(spark, monkeypatch):
+    def whole(model, *_):
+        model.used, model.reach = 1, len(model.quantiles[0]) + 1
+
+    monkeypatch.setattr(ann, "fit", whole)  # all candidates are met, whichever of many equal ones are nearer on a curve
+    rng = np.random.default_rng(3)
+    rows = [(i, [1.0, float(i % 50), 0.0]) for i in rng.permutation(400).tolist()]
+    got: dict[int, list] = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 20 == 0, k=9).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, mine in got.items():
+        want = sorted((-(1.0 + (q % 50) * (i % 50)), i) for i in range(400) if i != q)[:9]
+        assert [(-s, v) for _, v, s in sorted(mine)] == want
+
+
+def test_nearest_on_clusters_reads_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 24))
+    x = centres[rng.integers(0, 60, 6000)] + 0.05 * rng.normal(size=(6000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    models, fit = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda m, *rest: (fit(m, *rest), models.append(m))[0])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got: dict[int, set] = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    scores = x[::20] @ x.T
+    scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    near = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(got[20 * i] & set(n.tolist())) / 20 for i, n in enumerate(near)]) >= 0.9
+    model = models[0]
+    assert model.used >= 2 and model.used * (2 * model.reach + 1) < 0.4 * (len(model.quantiles[0]) + 1)
+
+
 def test_hilbert_neighbours_are_one_step_apart():
     side = np.arange(16)
     cells = np.stack(np.meshgrid(side, side, indexing="ij"), axis=-1).reshape(-1, 2)
@@ -177,10 +223,59 @@ def test_html_keeps_article_parts_with_telling_names():
         assert html.main_text(f"<article><p>a</p>{part}</article>", "article") == ("a\nx" if part in kept else "a"), part
 
 
+def plain_pages(n, host):
+    """Pages whose class names say nothing; the menu is longer than the article."""
+    menu = " ".join(f"entry{i}" for i in range(60))
+    rng = random.Random(8)
+    out = []
+    for i in range(n):
+        more = f"<p>{rng.random()} more</p>" * (i % 3)
+        note = "<p>A line that some pages have</p>" if i % 2 else ""
+        out.append((i, f"http://{host}/{i}", f"<div class=q1><ul><li>{menu}<li>log in</ul></div><div class='q2 n{i}'><h1>Title {i}</h1><p>Body {rng.random()}</p>{note}{more}<p>Tell your friends about us</p></div><div class=q3><p>All rights reserved</p></div>"))
+    return out
+
+
+def test_alignment_tells_the_menu_from_the_article(spark):
+    kinds = "page_id int, url string, html string"
+    pages = plain_pages(14, "a.org")
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(pages, kinds).repartition(5)).collect()}
+    # Brute force: what every page says at a place is template; the rest of the group that holds most of it is the text.
+    blocks = {i: [(t, path) for kind, t, path in html.blocks(h) if kind == "#"] for i, _, h in pages}
+    fixed = set.intersection(*(set(b) for b in blocks.values()))
+    assert {t for t, _ in fixed} >= {"log in", "Tell your friends about us", "All rights reserved"}
+    assert got == {i: "\n".join(t for t, path in b if (t, path) not in fixed and path.startswith("/div.q2")) for i, b in blocks.items()}
+    assert all("A line that some pages have" in got[i] for i in got if i % 2)
+    # Alone, nothing but its length speaks for a group.
+    alone = html.extract(spark.createDataFrame(pages[:1], kinds)).first()["text"]
+    assert alone != got[0] and "entry5" in alone
+    # Copies of one article keep their text: nothing tells data from template.
+    copies = [(i, f"http://b.org/{i}", f"<article><p>The same article</p><p>again</p></article><p>{i}</p>") for i in range(20)]
+    assert {r["text"] for r in html.extract(spark.createDataFrame(copies, kinds)).collect()} == {"The same article\nagain"}
+
+
+def test_wrappers_do_not_depend_on_how_pages_are_stored(spark, monkeypatch):
+    monkeypatch.setattr(html, "GROUP", 3)
+    rows = [(h, p) for host in ("a", "b") for _, h, p in [(0, host, x) for _, _, x in plain_pages(17, host)]]
+    df = spark.createDataFrame(rows, "host string, html string")
+    one, two = (sorted(map(str, html.wrappers(d).collect())) for d in (df.repartition(1), df.repartition(7, "html")))
+    assert one == two and len(one) == 2
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 30_000 + "<p>at the bottom" + "</div>" * 30_000
+    wide = "<article>" + "".join(f"<p>p{i}</p><h{i % 5 + 1}>h{i}</h{i % 5 + 1}>" for i in range(3000)) + "</article>"
+    stray = "</b></p></x>" * 30_000 + "<article><p>x</article>"
+    rows = [(i, "http://h/", t) for i, t in enumerate((deep, wide, stray, deep, "<article><p>y</p></article>"))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[0] == got[3] == "at the bottom" and got[2] == "x" and got[4] == "y"
+    assert got[1] == "\n".join(f"p{i}\nh{i}" for i in range(3000))
+
+
 def test_wrapper_alignment():
     a, b = html.expression("<ul><li>1<li>2</ul><p>x</p>"), html.expression("<ul><li>1</ul><h2>t</h2><p>x</p><p>y</p>")
     both = html.align(a, b)
     assert [(g[0], g[1]) for g in both] == [("ul", ""), ("h2", "?"), ("p", "+")]
+    assert [len(both[2][2][0][2]), len(both[0][2][0][2][0][2])] == [1, 1]  # "x" and "1" are in both, the rest is a slot
     assert both[0][2][0][:2] == ["li", "+"]
     assert html.align(both, a) == both
 
@@ -205,6 +300,42 @@ def test_decontamination(spark):
     assert decontam.remove(d, b.limit(0)).count() == d.count()
 
 
+def best_windows(words, item):
+    """(similarity, start) of the best item-sized window, by looking at every one."""
+    k = min(5, len(item))
+    grams = lambda w: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    theirs, ours = Counter(grams(item)), grams(words)
+    wide, mine, shared, best = len(item) - k + 1, Counter(), 0, (0.0, 0)
+    for i, g in enumerate(ours):
+        mine[g] += 1
+        shared += mine[g] <= theirs[g]
+        if i >= wide:
+            old = ours[i - wide]
+            shared -= mine[old] <= theirs[old]
+            mine[old] -= 1
+        if i >= wide - 1 or i == len(ours) - 1:
+            has = min(wide, i + 1)
+            best = max(best, (shared / (has + wide - shared), -max(0, i - wide + 1)))
+    return best[0], -best[1]
+
+
+def test_decontamination_equals_every_window(spark, sf, monkeypatch):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = {r["item_id"]: r["text"].lower().split() for r in bench.collect()}
+    want = {}
+    for r in docs.collect():
+        words = (r["text"] or "").lower().split()
+        for i, item in items.items():
+            similarity, start = best_windows(words, item)
+            if similarity >= 0.8:
+                want[r["doc_id"], i] = (start, round(similarity, 9))
+    for most, power in ((200_000, 25), (0, 25), (0, 8)):
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(decontam, "BITMAP", power)
+        got = {(r["doc_id"], r["item_id"]): (r["start"], round(r["similarity"], 9)) for r in decontam.matches(docs, bench).collect()}
+        assert got == want and want
+
+
 def test_decontamination_of_moved_parts(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -234,9 +365,11 @@ def test_decontamination_of_moved_parts(spark):
 def test_native_simhash_and_similarity(spark):
     grams = [3, 3, 5, -7, 1 << 62]
     df = spark.createDataFrame([(grams, [3, 5, 5]), ([], [1])], "a array<bigint>, b array<bigint>")
-    rows = df.select(decontam.simhash(F.col("a")).alias("f"), decontam.weighted_similarity("a", "b").alias("s")).collect()
+    rows = df.select(decontam.simhash("a").alias("f"), decontam.weighted_similarity("a", "b").alias("s")).collect()
     want = sum(1 << b for b in range(64) if 2 * sum((g >> b) & 1 for g in grams) > len(grams))
     assert rows[0]["f"] & (1 << 64) - 1 == want and rows[0]["s"] == 2 / 6 and rows[1]["s"] == 0
+    other = df.select(decontam.simhash("a", 1).alias("f"), F.transform("a", lambda g: F.xxhash64(F.lit(1), g)).alias("g")).first()
+    assert other["f"] & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum((g >> b) & 1 for g in other["g"]) > len(grams))
 
 
 def test_language_id_held_out(spark, sf):
