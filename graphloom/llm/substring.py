@@ -39,7 +39,7 @@ def sort_windows(rows: list[tuple[bytes, int]]) -> Iterator[list[int]]:
 
 
 #: Buckets by minimiser; what is dealt over several parts is never whole.
-DEAL = Deal(lambda d: d.repartition("anchor", "part").sortWithinPartitions("anchor", "part"), lambda r: (r["anchor"], r["part"]), lambda r: r["parts"] == 1, False)
+DEAL = Deal(lambda d: d.repartition("anchor", "part").sortWithinPartitions("anchor", "part"), lambda r: (r["anchor"], r["part"]), lambda r: r["parts"] == 1)
 
 
 def _parts(docs: DataFrame, window: int, gram: int, key: str, text: str, bucket: int, keep: bool) -> tuple[DataFrame, DataFrame]:

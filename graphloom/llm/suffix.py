@@ -4,17 +4,15 @@ The array is sparse: of all suffixes, those that start at an anchor (see
 :mod:`graphloom.llm.windows`) are kept, each with the bytes before it that its
 windows of 400 bytes reach; every window crosses exactly one such suffix start,
 and suffixes whose leading 128 bytes occur once are sorted out beforehand.
-Spark samples splitters and range-partitions the suffixes by their own bytes,
-leading token first, later tokens after it, so a long run of suffixes with equal
-leading tokens is parted by the later ones (and at last by the bytes before
-the suffix); inside a range they are sorted the same way.  Suffixes that share
-their leading 128 bytes form a bucket: its windows, one distance to the suffix
-start after the other, are sorted by multikey quicksort, which leaves equal
-ones side by side.  A bucket at either end of a range may go on in the
-neighbouring one, and a bucket beyond ``BUCKET`` suffixes is cut: such pieces are
-compared across their boundaries by window fingerprints.  Each byte covered by a
-string of 400 bytes that also starts elsewhere, the same document included, is
-removed.
+Spark samples splitters and range-partitions the suffixes by their own leading
+tokens; inside a range they are sorted the same way.  Suffixes that share their
+leading 128 bytes form a bucket: its windows, one distance to the suffix start
+after the other, are sorted by multikey quicksort, which leaves equal ones side
+by side.  A run of more than ``BUCKET`` suffixes with equal leading tokens is
+parted further by the token after them, and at last by a hash, so ranges and
+buckets cut it in pieces, which are compared across their boundaries by window
+fingerprints.  Each byte covered by a string of 400 bytes that also starts
+elsewhere, the same document included, is removed.
 
 Cases: null text is empty; texts below 400 bytes lose nothing; rows given twice
 hold each other's strings and lose them all; matches never cross documents;
@@ -55,14 +53,10 @@ def multikey_quicksort(rows: list[tuple[bytes, int]]) -> Iterator[list[int]]:
                 todo.append((part, at))
 
 
-def _by_range(strings: DataFrame) -> DataFrame:
-    """Ranges of suffixes, sorted: by the first eight bytes, the bytes after them, and last by what lies before."""
-    order = [F.col("lead"), F.expr("substring(packed, spot + 9)"), F.expr("substring(packed, 1, spot)")]
-    return strings.repartitionByRange(*order).sortWithinPartitions(*order)
-
-
 def _deal(gram: int) -> Deal:
-    return Deal(_by_range, lambda r: r["packed"][r["spot"] : r["spot"] + gram], lambda r: True, True)
+    """Ranges of suffixes, sorted by the first eight bytes and all of the leading ones; long runs also by what follows."""
+    order = [F.col("lead"), F.col("anchor"), F.expr(f"CASE WHEN parts > 1 THEN substring(packed, spot + {gram + 1}, 8) END"), F.expr("CASE WHEN parts > 1 THEN xxhash64(packed) END")]
+    return Deal(lambda d: d.repartitionByRange(*order).sortWithinPartitions(*order), lambda r: r["packed"][r["spot"] : r["spot"] + gram], lambda r: r["parts"] == 1)
 
 
 def _parts(docs: DataFrame, window: int, gram: int, key: str, text: str, bucket: int, keep: bool) -> tuple[DataFrame, DataFrame]:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import arrow_stage, cut, drop_cut, in_batches, mix64, text_bytes
 
 #: Strings of a bucket, at most (of an anchor dealt by hash: occurrences for each bucket, about).
-BUCKET = 1 << 9
+BUCKET = 1 << 13
 #: Windows worked on at once in a long document.
 SPAN = 1 << 20
 #: Bytes of packed strings merged in a task before they are handed on.
@@ -334,34 +334,30 @@ VERDICT = "f1 bigint, f2 bigint, runs array<struct<first:bigint,last:bigint,low:
 class Deal:
     """How strings come to buckets: ``spread`` partitions and sorts them, ``key`` names what belongs together.
 
-    ``whole`` tells whether everything of a key that begins and ends inside a
-    task's rows is in that task; else (a key given as pieces) never.
+    ``whole`` tells whether all strings of a key are in one task; else its rows are a piece.
     """
 
     spread: Callable[[DataFrame], DataFrame]
     key: Callable[[dict], object]
     whole: Callable[[dict], bool]
-    edges: bool  # the first and the last key of a task may go on in its neighbours
 
 
 def judged(strings: DataFrame, shape: Shape, classes: Classes, deal: Deal, bucket: int) -> DataFrame:
     """Read dealt strings bucket by bucket: runs of repeating windows by string, and open windows of pieces."""
     names = ["anchor", "part", "parts", "windows", "spot", "packed", "low", "copies"]
+    key_of, all_here = deal.key, deal.whole  # the tasks take these, not the columns behind ``spread``
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Verdicts(shape, classes)
         held, whole, entries = None, False, {}
-        first = True
         for batch in batches:
             for row in batch.select(names).to_pylist():
-                if (now := deal.key(row)) != held:
+                if (now := key_of(row)) != held:
                     if held is not None:
-                        out.close(entries, whole and not (first and deal.edges))
-                        first = False
+                        out.close(entries, whole)
                         yield from out.batches(20_000)
-                    held, whole, entries = now, deal.whole(row), {}
-                elif len(entries) >= bucket and row["packed"] not in entries:
-                    whole = False
+                    held, whole, entries = now, all_here(row), {}
+                elif not whole and len(entries) >= bucket and row["packed"] not in entries:
                     out.close(entries, False)
                     yield from out.batches(20_000)
                     entries = {}
@@ -370,7 +366,7 @@ def judged(strings: DataFrame, shape: Shape, classes: Classes, deal: Deal, bucke
                 else:
                     v[2], v[3] = min(v[2], row["low"]), v[3] + row["copies"]
         if held is not None:
-            out.close(entries, whole and not deal.edges)
+            out.close(entries, whole)
         yield from out.batches(1)
 
     return in_batches(deal.spread(strings.select("lead", *names)), run, VERDICT)
