@@ -6,7 +6,7 @@ Every operator returns the new state as DataFrames; writing goes through
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import better_body, is_compound, noise_reason
@@ -41,7 +41,8 @@ def reinstate(active: DataFrame, archive: DataFrame, keep: Column) -> tuple[Data
     """(active, archive): rows that pass the gate come back once; those already active leave the archive."""
     fresh = archive.join(active.select("content_hash"), "content_hash", "left_anti")
     good = F.coalesce(keep, F.lit(False))
-    back = fresh.where(good).dropDuplicates(["content_hash"])
+    order = [c for c in ("doc_ord", "archived_at", "url", "title") if c in fresh.columns] or ["content_hash"]
+    back = fresh.where(good).withColumn("__r", F.row_number().over(Window.partitionBy("content_hash").orderBy(*order))).where("__r = 1").drop("__r")
     return active.unionByName(back.select(*active.columns)), fresh.where(~good)
 
 
@@ -60,7 +61,9 @@ def upsert_corrections(current: DataFrame, new: DataFrame) -> DataFrame:
 
 def append_new(existing: DataFrame, found: DataFrame, *key: str) -> DataFrame:
     """Rows of ``found`` that ``existing`` doesn't hold, once each."""
-    return found.dropDuplicates(list(key)).join(existing.select(*key).distinct(), list(key), "left_anti")
+    rest = [c for c in found.columns if c not in key]
+    once = found.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(*(rest or key)))).where("__r = 1").drop("__r")
+    return once.join(existing.select(*key).distinct(), list(key), "left_anti")
 
 
 def duplicate_suggestions(nodes: DataFrame) -> DataFrame:
@@ -71,6 +74,12 @@ def duplicate_suggestions(nodes: DataFrame) -> DataFrame:
     return both.where(~is_compound(F.col("bare"), F.col("full"))).select("src", "dst", "bare", "full").orderBy(F.lower("bare"), "src")
 
 
+def accepted(merges: DataFrame, noise: DataFrame, ord_from: int = 0) -> DataFrame:
+    """(kind, surface, canonical, ord): reviewed suggestions as corrections. merges: (bare, full); noise: (canonical_name)."""
+    rows = merges.select(F.lit("merge").alias("kind"), F.col("bare").alias("surface"), F.col("full").alias("canonical")).unionByName(noise.select(F.lit("ignore").alias("kind"), F.col("canonical_name").alias("surface"), F.lit(None).cast("string").alias("canonical")))
+    return rows.withColumn("ord", F.lit(ord_from).cast("long"))
+
+
 def noise_suggestions(nodes: DataFrame, trusted: DataFrame) -> DataFrame:
     """(node_key, canonical_name, reason). trusted: (node_key)."""
     known = nodes.join(trusted.select("node_key").distinct().withColumn("__ok", F.lit(True)), "node_key", "left")

@@ -89,6 +89,17 @@ def longest(*texts: Column) -> Column:
     return best
 
 
+_ASIDE = r"(?is)<(head|nav|header|footer|aside|form|script|style|noscript)\b.*?</\1\s*>"
+
+
+def main_text(html: Column) -> Column:
+    """The longest of three readings: paragraphs alone, the page without its furniture, and, if both are empty, all of it."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), _ASIDE, " ")
+    paragraphs = html_to_text_native(F.array_join(F.regexp_extract_all(bare, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), 1), " "))
+    whole = html_to_text_native(bare)
+    return F.coalesce(F.nullif(longest(paragraphs, whole), F.lit("")), html_to_text_native(html))
+
+
 def parse(feeds: DataFrame, most: int = 50) -> DataFrame:
     """(source, feed_pos, title, url, published, raw_text) of the first ``most`` entries. feeds: (source, raw)."""
 
@@ -108,12 +119,26 @@ def links(pages: DataFrame, extension: str = "pdf") -> DataFrame:
     return pages.select("url", F.posexplode(F.array_distinct(absolute)).alias("position", "link"))
 
 
+def is_feed(raw: Column) -> Column:
+    """The answer of an address is a feed with entries: by its root element and a first item."""
+    return F.coalesce(raw.rlike(r"(?is)^\s*(?:<\?xml[^>]*>\s*|<!--.*?-->\s*)*<(?:[\w-]+:)?(?:rss|feed|rdf)\b") & raw.rlike(r"(?i)<(?:[\w-]+:)?(?:item|entry)\b"), F.lit(False))
+
+
+def health(feeds: DataFrame, answers: DataFrame) -> DataFrame:
+    """(source, url, alive, entries): whether each feed that is read still answers with one. feeds: (source, url); answers: (url, raw)."""
+    known = answers.groupBy("url").agg(F.max("raw").alias("raw"))
+    counted = F.size(F.regexp_extract_all(F.coalesce("raw", F.lit("")), F.lit(r"(?i)(<(?:[\w-]+:)?(?:item|entry)\b)"), 1))
+    return feeds.join(known, "url", "left").select("source", "url", is_feed(F.col("raw")).alias("alive"), counted.alias("entries")).orderBy("alive", "source", "url")
+
+
 def discover(seeds: DataFrame, templates: DataFrame, alive: DataFrame) -> DataFrame:
     """(seed, url): for each homepage the first template by rank whose address is alive.
 
-    seeds: (seed, home); templates: (rank, template) with ``{home}``, a short
-    fixed list; alive: (url) that answered with a feed.
+    seeds: (seed, home) and, if templates name ``{topic}``, a topic; templates:
+    (rank, template) with ``{home}``, a short fixed list; alive: (url) that
+    answered with a feed (see :func:`is_feed`).
     """
     kinds = templates.agg(F.array_sort(F.collect_list(F.struct("rank", "template"))).alias("t")).scalar()
-    tried = seeds.select("seed", "home", F.explode(kinds).alias("t")).select("seed", F.col("t.rank").alias("rank"), F.replace("t.template", F.lit("{home}"), F.regexp_replace("home", "/+$", "")).alias("url"))
+    topic = F.coalesce(F.col("topic"), F.lit("")) if "topic" in seeds.columns else F.lit("")
+    tried = seeds.select("seed", "home", topic.alias("topic"), F.explode(kinds).alias("t")).select("seed", F.col("t.rank").alias("rank"), F.replace(F.replace("t.template", F.lit("{home}"), F.regexp_replace("home", "/+$", "")), F.lit("{topic}"), F.col("topic")).alias("url"))
     return tried.join(alive.select("url").distinct(), "url", "left_semi").groupBy("seed").agg(F.min_by("url", "rank").alias("url"))

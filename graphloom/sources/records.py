@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.numeric import money
-from graphloom.functions.text import is_relevant
+from graphloom.functions.text import is_relevant, matched_terms
 from graphloom.schemas import RUN_HISTORY
 
 AWARD = "firm STRING, award_title STRING, agency STRING, branch STRING, phase STRING, program STRING, agency_tracking_number STRING, contract STRING, proposal_award_date STRING, award_year STRING, award_amount STRING, topic_code STRING, research_area_keywords STRING, pi_name STRING, ri_name STRING, city STRING, state STRING, abstract STRING, award_link STRING"
@@ -16,8 +16,8 @@ AWARD = "firm STRING, award_title STRING, agency STRING, branch STRING, phase ST
 
 def awards(spark: SparkSession, path: str, most: int = 150) -> DataFrame:
     """Award records from JSON (arrays or lines), at most ``most`` a run in file order."""
-    rows = spark.read.schema(AWARD).option("multiLine", True).json(path)
-    return rows.limit(most)
+    rows = spark.read.schema(AWARD).option("multiLine", True).json(path).withColumn("__file", F.col("_metadata.file_path")).withColumn("__at", F.monotonically_increasing_id())
+    return rows.orderBy("__file", "__at").limit(most).drop("__file", "__at")
 
 
 def award_documents(rows: DataFrame, base: str = "https://awards.invalid/") -> DataFrame:
@@ -81,11 +81,13 @@ def enrichment(plans: DataFrame, known: DataFrame, phrases: Sequence[str], acron
 
 
 def plan_gate(plans: DataFrame, phrases: Sequence[str], acronyms: Sequence[str] = ()) -> DataFrame:
-    """(entity, relevant, location): the first part of a plan that is on topic, the synthesis before the articles."""
+    """(entity, relevant, location, terms): the first part of a plan that is on topic, the synthesis before the articles, and its terms."""
     hit = lambda title, body: is_relevant(F.concat_ws(" ", title, body), phrases, acronyms)
     first = F.array_min(F.array_compact(F.transform(F.coalesce("articles", F.array().cast(plans.schema["articles"].dataType)), lambda a, i: F.when(hit(a["title"], a["html"]), i + 1))))
     where = F.when(hit(F.col("synthesis.title"), F.col("synthesis.body")), "synthesis").when(first.isNotNull(), F.concat(F.lit("article "), first))
-    return plans.select("entity", where.isNotNull().alias("relevant"), where.alias("location"))
+    at = F.get("articles", first - 1)
+    said = F.when(where == "synthesis", F.concat_ws(" ", "synthesis.title", "synthesis.body")).when(first.isNotNull(), F.concat_ws(" ", at["title"], at["html"]))
+    return plans.select("entity", where.isNotNull().alias("relevant"), where.alias("location"), matched_terms(said, phrases, acronyms).alias("terms"))
 
 
 def run_history(spark: SparkSession, path: str) -> DataFrame:
