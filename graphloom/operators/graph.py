@@ -181,11 +181,16 @@ def shortest_path(edges: DataFrame, src: int, dst: int, max_hops: int | None = N
     return spark.createDataFrame([], schema)
 
 
-def two_hop_pairs(edges: DataFrame) -> DataFrame:
-    """(a, b, shared): all pairs two hops apart that are not linked, a < b."""
+def two_hop_pairs(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(a, b, shared): for each asked node a, the nodes b two hops away that it is not linked to. asked: (id).
+
+    The first hop is taken by the asked nodes alone, so a hub costs its
+    neighbours for each asked node beside it, not the square of them.
+    """
     both = edges.select("src_id", "dst_id").unionByName(edges.select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))).distinct()
-    l, r = both.select(F.col("dst_id").alias("m"), F.col("src_id").alias("a")), both.select(F.col("dst_id").alias("m"), F.col("src_id").alias("b"))
-    return l.join(r, "m").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).join(both.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")), ["a", "b"], "left_anti")
+    direct = both.join(asked.select(F.col("id").alias("src_id")).distinct(), "src_id", "left_semi").select(F.col("src_id").alias("a"), F.col("dst_id").alias("m"))
+    second = both.select(F.col("src_id").alias("m"), F.col("dst_id").alias("b"))
+    return direct.join(second, "m").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")).join(direct.withColumnRenamed("m", "b"), ["a", "b"], "left_anti")
 
 
 def tour(stops: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -104,9 +104,9 @@ def q_documents_of_node(spark, sf):
 PLANS = "('e', array(named_struct('url', 'u', 'title', 'On drones', 'source', 's', 'published', '', 'html', '<p>drones fly</p>'), named_struct('url', 'v', 'title', 'Cake', 'source', 's', 'published', '', 'html', 'cake')), named_struct('title', 'Sum', 'body', 'cake', 'source', 'x')), ('f', array(named_struct('url', 'w', 'title', 'Cake', 'source', 's', 'published', '', 'html', 'cake')), named_struct('title', 'Sum', 'body', 'about drones', 'source', 'x')), ('g', array(named_struct('url', 'w', 'title', 'Cake', 'source', 's', 'published', '', 'html', 'cake')), null)"
 
 
-@query("SELECT * FROM (VALUES ('e', true, 'article 1'), ('f', true, 'synthesis'), ('g', false, NULL)) t(entity, relevant, location)")
+@query("SELECT * FROM (VALUES ('e', true, 'article 1', 'drones'), ('f', true, 'synthesis', 'drones'), ('g', false, NULL, '')) t(entity, relevant, location, terms)")
 def q_plan_gate(spark, sf):
-    return records.plan_gate(values(spark, PLANS, "entity, articles, synthesis"), ["drones"])
+    return records.plan_gate(values(spark, PLANS, "entity, articles, synthesis"), ["drones"]).withColumn("terms", F.array_join("terms", ","))
 
 
 @query("SELECT * FROM (VALUES ('e', 'u', 'drones fly'), ('f', 'generated:' || sha256('f|about drones'), 'about drones')) t(entity, url, raw_text)")
@@ -134,16 +134,10 @@ def q_evidence_filters(spark, sf):
     return graph.with_evidence(G.edges(spark, sf, n), n, 0.6, 0.02, "person").select("id")
 
 
-@query(G.SQL + ", c AS (SELECT id FROM nodes WHERE type = 'concept' ORDER BY id LIMIT 1), near AS (SELECT id FROM c UNION SELECT dst_id FROM se JOIN c ON src_id = c.id UNION SELECT src_id FROM se JOIN c ON dst_id = c.id) SELECT (SELECT count(*) FROM near) AS nodes, (SELECT count(*) FROM se WHERE src_id IN (SELECT id FROM near) AND dst_id IN (SELECT id FROM near)) AS edges".replace(", c AS", ", se AS (SELECT * FROM edges WHERE relation = 'co_occurs_with' AND (src_id * 7 + dst_id * 13) % 11 = 0), c AS"))
+@query(G.SQL + ", se AS (SELECT * FROM edges WHERE relation = 'co_occurs_with' AND strength >= 0.035), c AS (SELECT id FROM nodes WHERE type = 'concept' ORDER BY id LIMIT 1), near AS (SELECT id FROM c UNION SELECT dst_id FROM se JOIN c ON src_id = c.id UNION SELECT src_id FROM se JOIN c ON dst_id = c.id) SELECT (SELECT count(*) FROM near) AS nodes, (SELECT count(*) FROM se WHERE src_id IN (SELECT id FROM near) AND dst_id IN (SELECT id FROM near)) AS edges")
 def q_subfield_scope(spark, sf):
-    from graphloom.plans.registry import sparse
+    return _subfield_scope(spark, sf, G.strong)
 
-    return _subfield_scope(spark, sf, sparse)
-
-
-@query()
-def q_subfield_scope_whole(spark, sf):
-    return _subfield_scope(spark, sf, G.edges)
 
 
 def _subfield_scope(spark, sf, linked):

@@ -1,13 +1,21 @@
-"""A graph from the order tables: an order is a document, a part name an entity."""
+"""A graph from the order tables: an order is a document, a part name an entity.
+
+Nodes and edges are built once for an application and written to the shared
+folder; queries read the tables, as they would those of a rebuild.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import resolve
 from graphloom.schemas import CO_OCCURS
-from graphloom.session import table
+from graphloom.session import shared_dir, table
+from graphloom.sources.corpus import exists
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,13 +36,32 @@ def kind(name):
     return F.when(n == 0, "organization").when(n == 1, "person").when(n == 2, "concept").otherwise("misc")
 
 
+def _built(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    at = f"{shared_dir(spark)}/graphloom-{spark.sparkContext.applicationId}/graph-{hashlib.md5(sf_dir.encode()).hexdigest()}/{name}"
+    if not exists(spark, f"{at}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.number(resolve.node_rollup(mentions(spark, sf_dir), documents(spark, sf_dir)), "node_key")
+    return _built(spark, sf_dir, "nodes", lambda: make_nodes(spark, sf_dir))
 
 
 def edges(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    return _built(spark, sf_dir, "edges", lambda: make_edges(spark, sf_dir, nodes(spark, sf_dir) if known is None else known))
+
+
+def strong(spark: SparkSession, sf_dir: str, known: DataFrame | None = None, least: float = 0.035) -> DataFrame:
+    """Co-occurrence edges of some strength: a graph in which not all nodes are neighbours."""
+    return edges(spark, sf_dir, known).where((F.col("relation") == CO_OCCURS) & (F.col("strength") >= least))
+
+
+def make_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.number(resolve.node_rollup(mentions(spark, sf_dir), documents(spark, sf_dir)), "node_key")
+
+
+def make_edges(spark: SparkSession, sf_dir: str, known: DataFrame) -> DataFrame:
     """Co-occurrence, and typed edges from one line of an order to the next by return flag."""
-    known = nodes(spark, sf_dir) if known is None else known
     said = mentions(spark, sf_dir)
     ids = known.select("node_key", "id")
     cooc = resolve.with_strength(resolve.cooccurrence(said.select("content_hash", "node_key")), known)
@@ -42,7 +69,7 @@ def edges(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> D
     plain = cooc.join(a, "a").join(b, "b").select("src_id", "dst_id", F.lit(CO_OCCURS).alias("relation"), "weight", "strength", F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("evidence"), F.lit(None).cast("string").alias("source"))
     x = said.where(F.col("flag").isin("R", "A")).select("content_hash", "doc_ord", F.col("node_key").alias("src"), F.when(F.col("flag") == "R", "supplies").otherwise("develops").alias("relation"), (F.col("mention_ord") + 1).alias("line"))
     y = said.select("content_hash", F.col("node_key").alias("dst"), F.col("mention_ord").alias("line"))
-    rows = x.join(y, ["content_hash", "line"]).withColumn("evidence", F.lit(None).cast("string")).withColumn("s1", F.lit(0))
+    rows = x.join(y, ["content_hash", "line"]).withColumn("evidence", F.concat_ws(" ", "src", F.lit("to"), "dst", F.lit("in"), "content_hash")).withColumn("s1", F.lit(0))
     typed = resolve.typed_edges(rows).join(ids.select(F.col("node_key").alias("src"), F.col("id").alias("src_id")), "src").join(ids.select(F.col("node_key").alias("dst"), F.col("id").alias("dst_id")), "dst").select("src_id", "dst_id", "relation", "weight", F.lit(1.0).alias("strength"), "confidence", "evidence", "source")
     return resolve.number(plain.unionByName(typed).withColumn("__typed", F.col("relation") != CO_OCCURS), "__typed", "src_id", "relation", "dst_id").drop("__typed")
 
@@ -59,9 +86,9 @@ nodes AS (SELECT row_number() OVER (ORDER BY k) AS id, k AS canonical_name, CASE
 dk AS (SELECT DISTINCT doc, k FROM m),
 ok AS (SELECT doc FROM dk GROUP BY doc HAVING count(*) BETWEEN 2 AND 60),
 co AS (SELECT a.k AS a, b.k AS b, count(*) AS weight FROM dk a JOIN dk b ON a.doc = b.doc AND a.k < b.k WHERE a.doc IN (SELECT doc FROM ok) GROUP BY 1, 2),
-ty AS (SELECT x.k AS s, CASE x.rf WHEN 'R' THEN 'supplies' ELSE 'develops' END AS relation, y.k AS t, count(*) AS weight, CAST(min(x.ord) AS VARCHAR) AS source FROM m x JOIN m y ON x.doc = y.doc AND y.ln = x.ln + 1 WHERE x.rf IN ('R', 'A') AND x.k <> y.k GROUP BY 1, 2, 3),
-e0 AS (SELECT na.id AS src_id, nb.id AS dst_id, 'co_occurs_with' AS relation, weight, round_even(weight / (na.document_count + nb.document_count - weight), 4) AS strength, CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS source FROM co JOIN nodes na ON na.canonical_name = a JOIN nodes nb ON nb.canonical_name = b
-  UNION ALL SELECT na.id, nb.id, relation, weight, 1.0, round_even(1 - 1.0::DOUBLE / (1 + weight), 3), source FROM ty JOIN nodes na ON na.canonical_name = s JOIN nodes nb ON nb.canonical_name = t),
+ty AS (SELECT x.k AS s, CASE x.rf WHEN 'R' THEN 'supplies' ELSE 'develops' END AS relation, y.k AS t, count(*) AS weight, CAST(min(x.ord) AS VARCHAR) AS source, x.k || ' to ' || y.k || ' in ' || CAST(min(x.ord) AS VARCHAR) AS evidence FROM m x JOIN m y ON x.doc = y.doc AND y.ln = x.ln + 1 WHERE x.rf IN ('R', 'A') AND x.k <> y.k GROUP BY 1, 2, 3),
+e0 AS (SELECT na.id AS src_id, nb.id AS dst_id, 'co_occurs_with' AS relation, weight, round_even(weight / (na.document_count + nb.document_count - weight), 4) AS strength, CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS evidence FROM co JOIN nodes na ON na.canonical_name = a JOIN nodes nb ON nb.canonical_name = b
+  UNION ALL SELECT na.id, nb.id, relation, weight, 1.0, round_even(1 - 1.0::DOUBLE / (1 + weight), 3), source, evidence FROM ty JOIN nodes na ON na.canonical_name = s JOIN nodes nb ON nb.canonical_name = t),
 edges AS (SELECT row_number() OVER (ORDER BY relation <> 'co_occurs_with', src_id, relation, dst_id) AS id, * FROM e0),
 bridge AS (SELECT n.id AS node_id, dk.doc AS content_hash FROM dk JOIN nodes n ON n.canonical_name = dk.k),
 ends AS (SELECT src_id AS id, relation FROM edges UNION ALL SELECT dst_id, relation FROM edges)
