@@ -34,6 +34,25 @@ def overview(documents: DataFrame, mentions: DataFrame, nodes: DataFrame, edges:
     return one.select("*", F.bround(percent(c("singletons"), c("nodes")), 1).alias("singleton_pct"), F.bround(percent(c("isolated"), c("nodes")), 1).alias("isolated_pct"), F.bround(ratio(c("entities"), c("nodes")), 2).alias("mentions_per_node"))
 
 
+#: Lower bounds of the ranges that degrees, mentions and document counts are counted in.
+RANGES = (0, 1, 2, 5, 10, 50)
+
+
+def distributions(nodes: DataFrame, edges: DataFrame, bounds: Sequence[int] = RANGES) -> DataFrame:
+    """(figure, bucket, count): how many nodes have how many edges, mentions and documents."""
+    degree = endpoints(edges).groupBy("id").agg(F.count("*").alias("degree"))
+    each = nodes.join(degree, "id", "left").select(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("mention_count").alias("mentions"), F.col("document_count").alias("documents"))
+    low = lambda c: F.array_max(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= c))
+    long = each.select(F.explode(F.array(*[F.struct(F.lit(c).alias("figure"), low(F.col(c)).alias("bucket")) for c in each.columns])).alias("x"))
+    return long.groupBy("x.figure", "x.bucket").agg(F.count("*").alias("count")).orderBy("figure", "bucket")
+
+
+def kpis(documents: DataFrame, mentions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row for the run history: the overview's figures and the number of partial-name duplicates."""
+    partial = partial_duplicates(nodes).agg(F.count("*").alias("n"))
+    return overview(documents, mentions, nodes, edges).withColumn("partial_name_dups", partial.scalar())
+
+
 def date_quality(documents: DataFrame) -> DataFrame:
     """(source, documents, parsed, missing, unparseable, unparseable_pct) and a total row with a null source."""
     marked = documents.select("source", date_status(F.col("published")).alias("s"))

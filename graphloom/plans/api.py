@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import dates, text
 from graphloom.operators import curation, digest, extract, graph, quality, resolve, temporal
-from graphloom.sources import records
+from graphloom.sources import corpus, records
 
 
 class NotFound(LookupError):
@@ -91,7 +91,7 @@ class Landscape:
 
     def overview(self) -> dict[str, DataFrame]:
         return {
-            "figures": quality.overview(self.documents, self.mentions, self.nodes, self.edges), "dates": quality.date_quality(self.documents), "signal": quality.signal_coverage(self.documents, self.mentions),
+            "figures": quality.overview(self.documents, self.mentions, self.nodes, self.edges), "distributions": quality.distributions(self.nodes, self.edges), "partial": quality.partial_duplicates(self.nodes), "dates": quality.date_quality(self.documents), "signal": quality.signal_coverage(self.documents, self.mentions),
             "top": graph.top_nodes(self.nodes, 10), "connected": graph.most_connected(self.nodes, self.edges), "reading": quality.reading(self.documents), **self.types(),
             **({"sources": quality.source_health(self.documents, self.runs, self.as_of), "diff": quality.run_diff(self.runs)} if "runs" in self.tables else {}),
         }
@@ -137,12 +137,20 @@ class Landscape:
         return {"merges": curation.duplicate_suggestions(self.nodes), "noise": curation.noise_suggestions(self.nodes, trusted), "candidates": curation.candidates(self.nodes, known), "acronyms": extract.acronyms(self.documents.select("doc_ord", F.col("raw_text").alias("text")))}
 
     def correct(self, action: str, surface: str, canonical: str | None = None) -> DataFrame:
-        """The corrections table with one more merge or ignore."""
+        """The corrections table with one more merge or ignore; :meth:`resolved` makes the graph anew from it."""
         if action not in ("merge", "ignore") or (action == "merge" and not canonical):
             raise ValueError(action)
         row = self.nodes.sparkSession.createDataFrame([(action, surface, canonical, 0)], "kind string, surface string, canonical string, ord bigint")
         return curation.upsert_corrections(self.corrections, row)
 
+    def resolved(self, corrections: DataFrame, trusted: DataFrame | None = None) -> Landscape:
+        """The same mentions under other corrections: resolution alone runs again, not extraction."""
+        body = self.documents.select("content_hash", "doc_ord", text.document_text(F.col("title"), F.col("raw_text")).alias("text"))
+        keyed = resolve.keyed_mentions(self.mentions, corrections, trusted)
+        dated = self.documents.withColumn("doc_date", dates.effective_date(F.col("published"), F.col("fetched_at"))).select("content_hash", "doc_ord", "doc_date")
+        made = resolve.graph(keyed, extract.relations(body, self.mentions), dated, trusted)
+        return Landscape({**self.tables, **made, "corrections": corrections}, self.as_of, self.generic)
+
     def audit(self, phrases: Sequence[str], acronyms: Sequence[str], at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(kept, archived, dropped by source) of the topic gate, protected rows kept."""
         keep = text.is_relevant(F.concat_ws(" ", "title", "raw_text"), phrases, acronyms) | curation.protected(F.col("metadata"))
@@ -153,7 +161,7 @@ def rebuild(documents: DataFrame, gazetteer: DataFrame, as_of: str, backend: str
     """From a corpus to a queryable graph. documents: (content_hash, doc_ord, title, raw_text, published, fetched_at, ...)."""
     from graphloom.session import cut
 
-    dated = documents.dropDuplicates(["content_hash"]).withColumn("doc_date", dates.effective_date(F.col("published"), F.col("fetched_at")))
+    dated = corpus.first_of_each(documents).withColumn("doc_date", dates.effective_date(F.col("published"), F.col("fetched_at")))
     body = dated.select("content_hash", "doc_ord", text.document_text(F.col("title"), F.col("raw_text")).alias("text"))
     mentions = cut(extract.mentions(body, gazetteer, backend))
     trusted = gazetteer.select("canonical").distinct()

@@ -105,7 +105,7 @@ def test_command_line_on_a_corpus(spark, tmp_path):
     assert corpus.load(spark, path).where("read_fresh").count() == 0
     cli.main(["correct", "merge", "acme", "Acme Corp", *at])
     cli.main(["correct", "ignore", "sugar", *at])
-    assert spark.read.json(fixes).count() == 2
+    assert spark.read.json(corpus.current(spark, fixes)).count() == 2
     plan = tmp_path / "plan.json"
     plan.write_text('{"entity": "e", "articles": [{"url": "u", "title": "drones", "html": "<p>x</p>"}]}')
     cli.main(["enrich", str(plan), "drones", *at])
