@@ -26,6 +26,7 @@ import base64
 import hashlib
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +38,22 @@ from graphloom.llm.common import arrow_stage, text_bytes
 MEMO_ENTRIES = 300_000
 
 
+class Pieces(dict):
+    """Tokens of pieces, remembered unless they are long; emptied when full."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = self.encode(piece.encode("utf-8", "surrogateescape").decode("latin-1"))
+        if len(piece) <= 64:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class ByteBPE:
     """Exact byte-level BPE for a rank file (base64 token, rank per line) and a split pattern."""
 
@@ -48,7 +65,7 @@ class ByteBPE:
         self.tokens = {r: t for t, r in ranks.items()}
         self.split = regex.compile(pattern)
         self.pairs: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces = Pieces(self.encode_piece)
         # A vocabulary entry that merging does not rebuild from its own bytes can never be produced.
         self.automaton = ahocorasick.Automaton()
         self.whole: dict[str, int] = {}
@@ -59,8 +76,13 @@ class ByteBPE:
                 if last:
                     self.parts[r] = last
                 self.whole[t.decode("latin-1")] = r
-                self.automaton.add_word(t.decode("latin-1"), (len(t), r))
+                self.automaton.add_word(t.decode("latin-1"), r)
         self.automaton.make_automaton()
+        #: By rank: bytes of the token, and the longest entry that is a proper prefix of it (-1: none).
+        self.size, self.shorter = [0] * (max(ranks.values(), default=-1) + 1), [-1] * (max(ranks.values(), default=-1) + 1)
+        for t, r in self.whole.items():
+            self.size[r] = len(t)
+            self.shorter[r] = next((self.whole[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.whole), -1)
         self.joined = {pair: r for r, pair in self.parts.items()}
 
     @classmethod
@@ -119,62 +141,45 @@ class ByteBPE:
         token = self.whole.get(piece)
         if token is not None:
             return (token,)
-        n, pairs = len(piece), self.pairs
-        # Longest matches alone, found inside the automaton: if all neighbours are compatible, the walk would end here too.
-        out = [token for _, (_, token) in self.automaton.iter_long(piece)]
-        before = out[0]
-        for token in out[1:]:
-            fits = pairs.get(before << 32 | token)
-            if not (self.compatible(before, token) if fits is None else fits):
-                break
-            before = token
+        pairs, size, shorter, longest = self.pairs, self.size, self.shorter, self.automaton.iter_long
+        out: list[int] = []
+        at = 0
+        # Longest matches first: if all neighbours are compatible, the walk ends here.
+        for _, token in longest(piece):
+            if out:
+                fits = pairs.get(out[-1] << 32 | token)
+                if not (self.compatible(out[-1], token) if fits is None else fits):
+                    break
+            out.append(token)
+            at += size[token]
         else:
             return tuple(out)
-        starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (length, token) in self.automaton.iter(piece):
-            starting[end - length + 1].append((length, token))  # lengths ascend for each start
+        n = len(piece)
         dead = bytearray(n + 1)
-        out = []
-        path: list[tuple[int, int]] = []  # position and number of choices left there
-        at, left = 0, len(starting[0]) if n else 0
-        while at < n:
-            taken = False
-            while left:
-                left -= 1
-                length, token = starting[at][left]
-                if dead[at + length]:
-                    continue
-                fits = True
-                if out:
-                    fits = pairs.get(out[-1] << 32 | token)
-                    if fits is None:
-                        fits = self.compatible(out[-1], token)
-                if fits:
-                    path.append((at, left))
-                    out.append(token)
-                    at += length
-                    left = len(starting[at]) if at < n else 0
-                    taken = True
-                    break
-            if not taken:
+        token = shorter[token]
+        while True:
+            while token < 0:  # nothing fits here: the token before is made shorter
                 dead[at] = 1
-                at, left = path.pop()
-                out.pop()
-        return tuple(out)
+                last = out.pop()
+                at -= size[last]
+                token = shorter[last]
+            end = at + size[token]
+            fits = not dead[end]
+            if fits and out:
+                fits = pairs.get(out[-1] << 32 | token)
+                if fits is None:
+                    fits = self.compatible(out[-1], token)
+            if not fits:
+                token = shorter[token]
+                continue
+            out.append(token)
+            at = end
+            if at == n:
+                return tuple(out)
+            token = next(longest(piece, at))[1]
 
     def encode(self, text: str) -> array:
-        ids = array("I")
-        pieces, size = self.pieces, len
-        for match in self.split.findall(text):
-            found = pieces.get(match)
-            if found is None:
-                found = self.encode_piece(match.encode("utf-8", "surrogateescape").decode("latin-1"))
-                if size(match) <= 64:
-                    if size(pieces) >= MEMO_ENTRIES:
-                        pieces.clear()
-                    pieces[match] = found
-            ids.extend(found)
-        return ids
+        return array("I", chain.from_iterable(map(self.pieces.__getitem__, self.split.findall(text))))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
