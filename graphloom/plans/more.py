@@ -42,9 +42,11 @@ def q_percent_guard(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", numeric.percent(F.col("c_nationkey"), F.col("c_acctbal")).alias("pct"))
 
 
-@query("SELECT * FROM (VALUES (1, 1234.5), (2, NULL), (3, 99.0)) t(id, amount)".replace("1234.5", "CAST(1234.5 AS DOUBLE)").replace("99.0", "CAST(99 AS DOUBLE)"))
+@query("SELECT o_orderkey AS id, round(o_totalprice, 2) AS amount FROM orders UNION ALL SELECT * FROM (VALUES (-1, 1234.5::DOUBLE), (-2, NULL), (-3, 99.0::DOUBLE)) t")
 def q_money(spark, sf):
-    return values(spark, "(1, '$1,234.50'), (2, 'n/a'), (3, 'USD 99')", "id, s").select("id", numeric.money(F.col("s")).alias("amount"))
+    written = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("s"))
+    odd = values(spark, "(-1L, '$1,234.50'), (-2L, 'n/a'), (-3L, 'USD 99')", "id, s")
+    return written.unionByName(odd).select("id", numeric.money(F.col("s")).alias("amount"))
 
 
 @query("SELECT * FROM (VALUES (1, true, 'Swarm'), (2, false, 'Swarm')) t(id, a, b)")
@@ -52,9 +54,10 @@ def q_compound(spark, sf):
     return values(spark, "(1, 'Swarm', 'Joint Swarm'), (2, 'Swarm', 'Swarm Lab')", "id, bare, full").select("id", text.is_compound(F.col("bare"), F.col("full")).alias("a"), F.col("bare").alias("b"))
 
 
-@query("SELECT * FROM (VALUES (1, '45s', 'just now'), (2, '2m 05s', '5h ago'), (3, '1h 02m', '3d ago'), (4, NULL, 'never')) t(id, d, a)")
+@query("SELECT o_orderkey AS id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('%dh %02dm', s // 3600, s % 3600 // 60) END AS d, CASE WHEN h < 1 THEN 'just now' WHEN h < 48 THEN CAST(floor(h) AS INT) || 'h ago' ELSE CAST(floor(h / 24) AS INT) || 'd ago' END AS a FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 9000 AS s, o_custkey / 10.0 AS h FROM orders) UNION ALL SELECT -1, NULL, 'never'")
 def q_formats(spark, sf):
-    return values(spark, "(1, 45, 0.5), (2, 125, 5.2), (3, 3720, 75.0), (4, null, null)", "id, s, h").select("id", text.duration(F.col("s")).alias("d"), text.ago(F.col("h")).alias("a"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.floor("o_totalprice") % 9000).alias("s"), (F.col("o_custkey") / 10).alias("h"))
+    return rows.unionByName(values(spark, "(-1L, null, null)", "id, s, h")).select("id", text.duration(F.col("s")).alias("d"), text.ago(F.col("h")).alias("a"))
 
 
 # ------------------------------------------------------------ sources and stores

@@ -177,13 +177,11 @@ def q_proper_nouns(spark, sf):
     return extract.proper_noun_mentions(d)
 
 
-SPANS, TAKEN = "('d', 0, 5), ('d', 6, 9), ('d', 10, 20), ('e', 0, 5)", "('d', 4, 6), ('d', 20, 30)"
-
-
-@query(f"WITH a(content_hash, start_char, end_char) AS (VALUES {SPANS}), b(h, s, e) AS (VALUES {TAKEN}) SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE h = content_hash AND start_char < e AND s < end_char)")
+@query("WITH a AS (SELECT CAST(l_orderkey AS VARCHAR) AS content_hash, l_linenumber * 10 AS start_char, l_linenumber * 10 + CAST(l_quantity AS INT) AS end_char, l_returnflag AS f FROM lineitem) SELECT content_hash, start_char, end_char FROM a WHERE f = 'N' AND NOT EXISTS (SELECT 1 FROM a b WHERE b.f = 'R' AND b.content_hash = a.content_hash AND a.start_char < b.end_char AND b.start_char < a.end_char)")
 def q_span_overlap_anti(spark, sf):
-    names = "content_hash, start_char, end_char"
-    return extract.without_overlaps(values(spark, SPANS, names), values(spark, TAKEN, names))
+    start = F.col("l_linenumber") * 10
+    spans = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("content_hash"), start.alias("start_char"), (start + F.col("l_quantity").cast("int")).alias("end_char"), F.col("l_returnflag").alias("f"))
+    return extract.without_overlaps(spans.where("f = 'N'").drop("f"), spans.where("f = 'R'"))
 
 
 TEXTS = "('p', 1, 'Acme built the Falcon for Navy Lab. Then Ann Bee leads Acme.'), ('q', 2, 'The Falcon is built by Acme today. Acme, based in Oslo, sells.'), ('r', 3, 'Acme bought Beta Inc. Beta Inc supplies Oslo.')"
@@ -224,12 +222,13 @@ def q_coref_email(spark, sf):
     return resolve.shared_email(people(spark))
 
 
-LINKS = "('a', 'b'), ('b', 'c'), ('c', 'd'), ('x', 'y')"
-
-
-@query("SELECT * FROM (VALUES ('a', 'd'), ('b', 'd'), ('c', 'd'), ('x', 'y')) t(src, dst)")
+@query("SELECT 'n' || n_nationkey AS src, 'n24' AS dst FROM nation WHERE n_nationkey < 24 UNION ALL SELECT 'r' || r_regionkey, 'r0' FROM region WHERE r_regionkey > 0")
 def q_merge_chain(spark, sf):
-    return resolve.closed(values(spark, LINKS, "src, dst"))
+    """A chain over all nations, and a cycle over all regions, which ends in its smallest member."""
+    n, r = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k")), table(spark, sf, "region").select(F.col("r_regionkey").alias("k"))
+    name = lambda c, k: F.concat(F.lit(c), k.cast("string"))
+    chain = n.where("k < 24").select(name("n", F.col("k")).alias("src"), name("n", F.col("k") + 1).alias("dst"))
+    return resolve.closed(chain.unionByName(r.select(name("r", F.col("k")).alias("src"), name("r", (F.col("k") + 1) % 5).alias("dst"))))
 
 
 @query(f"WITH e AS (SELECT p_brand AS a, p_type AS b, count(*) AS weight FROM part GROUP BY 1, 2), m(src, dst) AS (VALUES ('Brand#11', 'Brand#12'), ('Brand#12', 'Brand#13'), ('Brand#13', 'Brand#14')), x AS (SELECT CASE WHEN a IN (SELECT src FROM m) THEN 'Brand#14' ELSE a END AS x, b AS y, weight FROM e) SELECT least(x, y) AS a, greatest(x, y) AS b, CAST(sum(weight) AS BIGINT) AS weight FROM x WHERE x <> y GROUP BY 1, 2")
