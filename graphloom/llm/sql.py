@@ -43,4 +43,20 @@ cut AS (SELECT g.doc_id, string_agg(substring(x, 2 * before + 1, 2 * (a - before
 SELECT d.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
 """
 
-SQL = {"op1_substring_dedup": OP1, "op8_suffix_dedup": OP8, "op2_url_filter": OP2, "op4_chat_format": OP4}
+OP11 = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS t(m) WHERE len(w) >= m),
+f AS (SELECT lang, phrase, any_value(m) AS m, count(*) AS a FROM g GROUP BY lang, phrase),
+total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= 10),
+cut AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT cut.lang, cut.phrase, cut.a, k, fx.a AS l, fy.a AS r, (1000000::HUGEINT * cut.a * cut.a // (fx.a::HUGEINT * fy.a))::BIGINT AS score FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.phrase = x JOIN f fy ON fy.lang = cut.lang AND fy.phrase = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE m = 3) GROUP BY 1, 2),
+kept AS (SELECT b.* FROM b LEFT JOIN inside ON inside.lang = b.lang AND inside.phrase = b.phrase WHERE position(' ' IN substr(b.phrase, position(' ' IN b.phrase) + 1)) > 0 OR longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+SQL = {"op11_collocations": OP11, "op1_substring_dedup": OP1, "op8_suffix_dedup": OP8, "op2_url_filter": OP2, "op4_chat_format": OP4}
