@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,10 +26,29 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", time: str = "ts", by: s
     return marked.groupBy(F.session_window(time, gap).alias("w"), by).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Each micro-batch prepared and appended as Parquet; ends when what is there has been read."""
+def append_to(stream: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame, int], DataFrame] = lambda df, _: df, partition_by: Sequence[str] = ()) -> StreamingQuery:
+    """Each micro-batch prepared and written once, as the folder ``batch=N`` of ``path``; ends when what is there has been read.
 
-    def write(batch: DataFrame, _: int) -> None:
-        prepare(batch).write.mode("append").parquet(path)
+    The batch's number comes from the checkpoint.  A batch that runs again
+    because its writer died before the checkpoint took note replaces the whole
+    folder that the first attempt left, so no row is lost or doubled.
+    ``prepare`` gets the rows and the number; what it reads of ``path`` must be of
+    other batches (:func:`written`).
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        prepare(batch, number).write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def prepared(spark: SparkSession, path: str, schema: str, partition_by: Sequence[str] = ()) -> None:
+    """Make ``path`` readable before the first batch: an empty table, if nothing is there."""
+    empty = spark.createDataFrame([], schema).drop("batch")
+    empty.write.mode("ignore").partitionBy(*partition_by).parquet(f"{path}/batch=-1")
+
+
+def written(spark: SparkSession, path: str, schema: str, besides: int | None = None) -> DataFrame:
+    """The rows of all batches, or of all but one; schema: with the partition columns and ``batch bigint``."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows if besides is None else rows.where(F.col("batch") != besides)
