@@ -44,8 +44,6 @@ SEED = 42
 BLOCK = 1 << 16
 #: Rows of one anchor that are compared in one piece.
 LIMIT = 1 << 12
-#: Ids lie below.
-NO_ID = 1 << 62
 
 
 def fingerprint(data: bytes, words_in_shingle: int = 3) -> int:
@@ -273,11 +271,10 @@ def groups(docs: DataFrame, words_in_shingle: int = 3, most: int = 3, key: str =
     if most != 3:
         raise ValueError("the covering is laid out for three differing bits")
     marked = cut(fingerprints(docs, words_in_shingle, key, text))
-    # A fingerprint that only rows without an id have is a node of its own, beyond all ids.
-    own = F.lit(NO_ID) + F.xxhash64("fp").bitwiseAND((1 << 61) - 1)
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).select("fp", F.coalesce("node", own).alias("node")))
+    # Components are of fingerprints, so documents' ids may be any: nulls count for nothing, and all of a component's may be null.
+    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     pairs = link(place(nodes.select("fp")), most, limit)
-    a, b = (nodes.select(F.col("fp").alias(c), F.col("node").alias(n)) for c, n in (("a", "u"), ("b", "v")))
-    comp = components(pairs.join(a, "a").join(b, "b").select("u", "v"))
-    of_node = nodes.join(comp, nodes.node == comp.id, "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(of_node, "fp").select("doc_id", "fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
+    comp = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rooted = cut(nodes.join(comp, nodes.fp == comp.id, "left").select("fp", F.coalesce("component", "fp").alias("root"), "least"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -172,3 +172,10 @@ def test_clusters_are_compared_in_blocks(spark):
     got = [(r["u"], r["v"]) for r in neardup.inside_clusters(members.unionByName(members.selectExpr("8 AS cluster", "node + 1000 AS node", "shingles"))).collect()]
     both = near + [(a + 1000, b + 1000) for a, b in near]
     assert closure([*sets, *(i + 1000 for i in sets)], got) == closure([*sets, *(i + 1000 for i in sets)], both)
+
+
+def test_ids_of_all_64_bits(spark):
+    text, other = "one two three four five six", "another text that stands alone here"
+    rows = [(2**62, text), (2**63 - 1, text), (-(2**63), other), (None, "no id has this text at all"), (None, text)]
+    got = simhash.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(2**62, 2**62), (2**63 - 1, 2**62), (-(2**63), -(2**63)), (None, None), (None, 2**62)}
