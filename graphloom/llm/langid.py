@@ -6,15 +6,16 @@ languages.  Features are hashed byte uni-, bi- and trigrams of the lower-cased
 letters of the whole text, square-rooted and scaled to unit length.
 
 Training takes a bounded sample of labelled rows, chosen by a hash of their key:
-about ``PER_LANGUAGE`` rows of each language, ``SAMPLE`` rows together, of the
-``LANGUAGES`` labels that occur most (rarer labels are not learned; ties go to
-the smaller label).  Only the sample's feature vectors of fixed length reach the
-driver, and the weights, whose size depends on the number of languages alone,
-travel with the tasks.  Prediction is a narrow map.  Worker code stays clear of
+about ``PER_LANGUAGE`` rows of each language, and fewer, but about ``FEWEST``
+where there are as many, once all together would pass ``SAMPLE``.  Every label
+is learned, however rare.  Only the sample's feature vectors of fixed length
+reach the driver, and the weights, whose size depends on the number of languages
+alone (with its square, as machines are one-versus-one), travel with the tasks.  Prediction is a narrow map.  Worker code stays clear of
 BLAS, whose threads do not survive the fork of a worker.
 
-Cases: a null text, or one with no letter, is ``und`` with score 0; languages
-outside the family table are a family of their own; with one learned language
+Cases: a null text, or one with no letter, is ``und`` with score 0; an empty table gives
+an empty result; extra columns pass through, those named like an added one are
+replaced; languages outside the family table are a family of their own; with one learned language
 everything else is that language, with none everything is ``und``; bytes that
 are not UTF-8 are passed over; long texts are read in blocks; repeated rows are predicted alike.
 """
@@ -34,8 +35,8 @@ from graphloom.llm.common import arrow_stage, text_bytes
 UNKNOWN = "und"
 #: Rows of each language in the training sample, at most about: a documented bound.
 PER_LANGUAGE = 400
-#: Labels learned, and rows of the sample, at most about: documented bounds of what reaches the driver.
-LANGUAGES, SAMPLE = 64, 8192
+#: Rows of the sample, at most about, while that leaves each language FEWEST rows: documented bounds of what reaches the driver.
+SAMPLE, FEWEST = 8192, 20
 DIMS = 4096
 BLOCK = 1 << 20
 #: Families of common languages.
@@ -140,14 +141,13 @@ class Model:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learn from rows with text and lang; the sample is bounded by ``per_language``."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    most = rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    counts = {r[0]: r[1] for r in most}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
         return Model(Votes([]), {})
-    wanted = min(per_language, max(1, SAMPLE // len(counts)))
-    shares = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, wanted / n))])
-    share = F.coalesce(shares[F.col(lang)], F.lit(0.0))
-    drawn = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < share * (1 << 30)
+    wanted = min(per_language, max(FEWEST, SAMPLE // len(counts)))
+    # A language with so few rows that a draw could miss them all gives them all.
+    shares = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, 1.0 if n <= 2 * FEWEST else min(1.0, wanted / n))])
+    drawn = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) < shares[F.col(lang)] * (1 << 30)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [features(t.decode("utf-8", "ignore")) for t in batch.column("t").to_pylist()]
