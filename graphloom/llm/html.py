@@ -6,21 +6,22 @@ repeated group, so a page becomes a short union-free regular expression.  The
 expressions of one host are aligned page by page: children that match are
 merged, mismatched elements become optional or repeated groups, and text that
 differs becomes a slot, until one wrapper covers every page of the host.  Text
-that stays equal in all of at least ``LEAST_PAGES`` different pages, in groups
-that none of them lacks, is the host's template, not data.
-
-The content region is the article, else the main element, else the group whose
-slots hold most text; template text counts for nothing there, so a menu that
-every page repeats loses against an article, whatever it is called.  A page's
-main text is what its content region holds outside of the groups for menus,
-headers, footers, side bars, notices, adverts, forms and reader comments and
-without the host's template text, unless that is most of the region (then the
-host's pages are copies of one article, and nothing tells data from template).
+that stays equal in all different pages, of two at least, in groups that none of
+them lacks, is the host's template, not data.
+
+The content region is the article, else the main element; all that it holds
+outside of the groups for menus, headers, footers, side bars, notices, adverts,
+forms and reader comments is main text, whether other pages say it too or not.
+On a host without such elements the region is the group whose slots hold most
+text; template counts for nothing there, so a menu that every page repeats loses
+against an article, whatever it is called.  Of such a region, template goes,
+except headings, which sites repeat in their articles; if all of it is template,
+it stays (then the pages are copies, and nothing tells data from template).
 
 Pages of a host are aligned in groups of ``GROUP`` different expressions, whose
-wrappers are aligned in turn, so a host with a third of all pages is spread over
-many tasks; the order is that of the expressions, so the result does not depend
-on how pages are stored.  What wrappers decide is broadcast only when its
+wrappers are aligned ``FAN`` at a time until one is left, so a host with a third
+of all pages is spread over many tasks; the order is that of the expressions, so
+the result does not depend on how pages are stored.  What wrappers decide is broadcast only when its
 measured size is within ``BROADCAST_BYTES``; else pages and wrappers meet in an
 equi-join on the host, which adaptive execution may split.
 
@@ -52,8 +53,8 @@ from graphloom.llm.common import arrow_stage, cut, in_batches
 from graphloom.llm.urlfilter import host_of
 
 BROADCAST_BYTES = 8 << 20
-#: Different expressions aligned in one group; different pages that make equal text a template.
-GROUP, LEAST_PAGES = 1024, 8
+#: Different expressions aligned in one group, and wrappers of groups aligned together.
+GROUP, FAN = 1024, 16
 #: Levels of nesting that are told apart, and children aligned in order.
 DEPTH, WIDE = 60, 200
 
@@ -401,13 +402,13 @@ def content_kind(wrapper: list[Group]) -> str | None:
     return "main" if seen else None
 
 
-def content(html: str, marker: str) -> list[tuple[int, str]]:
-    """(mark, text) of the blocks in the content region; ``marker`` is the kind of its element, or a path."""
+def content(html: str, marker: str) -> list[tuple[int, str, str]]:
+    """(mark, path, text) of the blocks in the content region; ``marker`` is the kind of its element, or a path."""
     out, inside = [], 0
     for kind, what, path in blocks(html):
         if kind == "#":
             if inside if marker in ("article", "main") else not marker or f"{path}/".startswith(marker + "/"):
-                out.append((mark_of(what, path), what))
+                out.append((mark_of(what, path), path, what))
         else:
             name = name_of(what)
             if name == marker or marker == "main" and name.endswith("*"):
@@ -416,12 +417,11 @@ def content(html: str, marker: str) -> list[tuple[int, str]]:
 
 
 def main_text(html: str, marker: str, known: frozenset[int] = frozenset()) -> str:
-    """Text of the content region without the host's template, unless that is most of it."""
+    """Text of the content region; where no element marks it, without the host's template, but with its headings."""
     got = content(html, marker)
-    own = [text for mark, text in got if mark not in known]
-    if 2 * sum(map(len, own)) < sum(len(text) for _, text in got):
-        own = [text for _, text in got]
-    return "\n".join(own)
+    if marker not in ("article", "main") and any(mark not in known for mark, _, _ in got):
+        got = [x for x in got if x[0] not in known or name_of(x[1].rsplit("/", 1)[-1]) in HEADS - {"p"}]
+    return "\n".join(text for _, _, text in got)
 
 
 def masses(html: str) -> dict[str, int]:
@@ -487,13 +487,16 @@ def wrappers(pages: DataFrame) -> DataFrame:
     dealt = distinct.join(counted, "host").select("host", F.pmod(F.xxhash64("shape"), F.ceil(F.col("n") / GROUP)).alias("part"), "shape")
     kind = "host string, part bigint, shape string"
     first = in_batches(dealt.repartition("host", "part").sortWithinPartitions("host", "part", "shape"), merge, kind)
-    whole = in_batches(first.repartition("host").sortWithinPartitions("host", "shape").withColumn("part", F.lit(0).cast("long")), merge, kind)
+    whole, parts = first, counted.agg(F.coalesce(F.max(F.ceil(F.col("n") / GROUP)), F.lit(1))).first()[0]
+    while parts > 1:
+        fewer = whole.select("host", F.floor(F.col("part") / FAN).alias("part"), "shape")
+        whole, parts = in_batches(fewer.repartition("host", "part").sortWithinPartitions("host", "part", "shape"), merge, kind), -(-parts // FAN)
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         kinds, marks, fixed = [], [], []
         for shape, n in zip(batch.column("shape").to_pylist(), batch.column("n").to_pylist(), strict=True):
             e = json.loads(shape)
-            same = template(e) if n >= LEAST_PAGES else []
+            same = template(e) if n > 1 else []
             kinds.append(content_kind(e))
             marks.append(sorted({mark for mark, _, _ in same}))
             fixed.append([{"path": path, "size": size} for _, path, size in same])

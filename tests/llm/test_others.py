@@ -1,6 +1,7 @@
 """The other operators on small fixtures, against brute force, round trips or held-out accuracy."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -66,11 +67,31 @@ def test_bytes_that_are_not_utf8(spark):
     assert len(langid.predict(df, langid.Model(langid.Votes([]), {})).collect()) == 4
 
 
-def test_sample_of_languages_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LANGUAGES", 3)
-    rows = [(i, f"word{i % 7} text {'abc'[i % 3]}", f"l{i % 3 if i % 10 else 100 + i}") for i in range(400)]
-    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_language=50)
-    assert model.families.names == ["l0", "l1", "l2"]
+def test_every_label_is_learned_from_a_bounded_sample(spark, monkeypatch):
+    rng = random.Random(4)
+    # Seventy labels with letters of their own, one of them on most rows and some on two only.
+    letters = {k: "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 5)) for k in range(70)}
+    rows = [(k * 1000 + i, " ".join("".join(rng.choices(letters[k], k=6)) for _ in range(30)), f"l{k:02d}") for k in range(70) for i in range(300 if k == 7 else 2 if k > 60 else 6)]
+    drawn = []
+    monkeypatch.setattr(langid.Votes, "fit", classmethod(lambda cls, x, y, f=langid.Votes.fit.__func__: (drawn.append(len(x)), f(cls, x, y))[1]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(df, per_language=40)
+    assert model.families.names == [f"l{k:02d}" for k in range(70)]
+    assert drawn[0] < 70 * 6 + 80  # the frequent label gave about 40 of its rows
+    got = langid.predict(df.where("doc_id % 1000 = 1"), model).select("lang", "lang_pred").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 63
+
+
+def test_language_of_long_repeated_and_clashing_rows(spark):
+    rows = [(i, f"word{i % 7} text {'abc'[i % 3] * 5}", f"l{i % 3}") for i in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    odd = [(1, "bbbbb word1 text " * 20_000), (2, "bbbbb word1 text"), (2, "bbbbb word1 text"), (3, None), (4, "")]
+    df = spark.createDataFrame(odd, "doc_id bigint, text string").selectExpr("*", "'x' AS lang_pred", "1 AS score", "'y' AS lang", "'z' AS t")
+    got = langid.predict(df, model)
+    assert sorted(got.columns) == sorted(df.columns) and got.dtypes[-1] == ("score", "double")
+    by = sorted((r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in got.collect())
+    assert by[0][1] == by[1][1] == "l1" and by[1] == by[2] and [b[1:] for b in by[3:]] == [("und", 0.0)] * 2
+    assert langid.predict(df.limit(0), model).count() == 0
 
 
 def test_settings_stay_as_they_are(spark, docs):
@@ -253,6 +274,34 @@ def test_alignment_tells_the_menu_from_the_article(spark):
     assert {r["text"] for r in html.extract(spark.createDataFrame(copies, kinds)).collect()} == {"The same article\nagain"}
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 60])
+def test_repeated_headings_stay_in_articles(spark, monkeypatch, n):
+    monkeypatch.setattr(html, "GROUP", 4)
+    monkeypatch.setattr(html, "FAN", 2)
+    rng = random.Random(n)
+    body = lambda i: f"<h1>Title {i}</h1><h2>Introduction</h2><p>{rng.random()} one</p><h2>Conclusion</h2><p>{rng.random()} two</p>"
+    parts = [(i, body(i)) for i in range(n)]
+    around = "<div class=zz><ul><li>a menu without a name<li>log in</ul></div>{}<div class=yy><p>All rights reserved</p></div>"
+    rows = [(i, f"http://{host}/{i}", around.format(f"<{tag}>{b}</{tag.split()[0]}>")) for host, tag in (("a.org", "article"), ("b.org", "main"), ("c.org", "div class=q2")) for i, b in parts]
+    got = {(r["url"].split("/")[2], r["page_id"]): r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for i, b in parts:
+        own = "\n".join(re.findall(r">([^<]+)<", b))
+        assert got["a.org", i] == got["b.org", i] == own
+        assert got["c.org", i] == own or n == 1
+
+
+def test_no_text_of_an_article_is_lost(spark):
+    """Brute force: an article's text is what stands between its tags, in order, whatever other pages say."""
+    rng = random.Random(3)
+    said = [f"Sentence {k} of them" for k in range(12)]
+    rows = []
+    for i in range(40):
+        blocks = [f"<{t}>{rng.choice(said)}</{t}>" for t in rng.choices(["p", "h2", "blockquote", "h3"], k=rng.randrange(1, 9))]
+        rows.append((i, "http://same.org/x", f"<div class=top><p>Site</p></div><article>{''.join(blocks)}</article>"))
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {i: "\n".join(re.findall(r">(Sentence[^<]+)<", h)) for i, _, h in rows}
+
+
 def test_wrappers_do_not_depend_on_how_pages_are_stored(spark, monkeypatch):
     monkeypatch.setattr(html, "GROUP", 3)
     rows = [(h, p) for host in ("a", "b") for _, h, p in [(0, host, x) for _, _, x in plain_pages(17, host)]]
