@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -50,7 +51,7 @@ SMALL, GROUPS = 4, 128
 #: The programme is within this share of its optimum when it ends.
 GAP = 1e-3
 #: Chunks whose tokens a worker remembers, none longer than MEMO_CHARS; texts tokenised together.
-MEMO_CHUNKS, MEMO_CHARS, TEXTS_CHARS = 400_000, 48, 1 << 20
+MEMO_CHUNKS, MEMO_CHARS, TEXTS_CHARS = 700_000, 48, 1 << 20
 
 # ------------------------------------------------------------------ tokens
 
@@ -58,6 +59,15 @@ MEMO_CHUNKS, MEMO_CHARS, TEXTS_CHARS = 400_000, 48, 1 << 20
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
+_OTHER_WHITE = frozenset(c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n")
+
+
+def chunked(text: str) -> list[str]:
+    """The text cut at its single blanks."""
+    plain = "  " not in text and "\n " not in text and " \n" not in text and text[:1] != " " and text[-1:] != " " and _OTHER_WHITE.isdisjoint(text)
+    return text.split(" ") if plain else _BLANK.split(text)
+
+
 class Chunks:
     """Token ids as bytes, remembered for chunks that begin with a single blank."""
 
@@ -69,22 +79,45 @@ class Chunks:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.line = self.tokenizer.token_to_id("Ċ")
+        self.marks = dict(zip(".,", self._ids([".", ","]), strict=True))
         self.memo: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember the ids of chunks, each after its blank.
+
+        A line break before a blank is a token of its own, so chunks without one
+        are encoded as the lines of one text.
+        """
+        lines = [x for x in new if "\n" not in x]
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join([" " + x for x in lines])], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.line) if len(lines) > 1 else np.zeros(0, np.int64)
+        data, at = ids.tobytes(), 0
+        for x, end in zip(lines, [*(4 * ends).tolist(), len(data)], strict=True):
+            self.memo[x] = data[at:end]
+            at = end + 4
+        rest = [x for x in new if "\n" in x]
+        self.memo.update(zip(rest, self._ids([" " + x for x in rest]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         memo = self.memo
         if len(memo) > MEMO_CHUNKS:
             memo.clear()
-        chunks = [_BLANK.split(t) for t in texts]
+        chunks = [chunked(t) for t in texts]
         heads = self._ids([c[0] for c in chunks])
-        new = list({x for c in chunks for x in c[1:] if x not in memo})
-        memo.update(zip(new, self._ids([" " + x for x in new]), strict=True))
+        new = set().union(*(c[1:] for c in chunks)).difference(memo)
+        # A mark after a letter or digit is a token of its own: the word is learned without it.
+        marked = [x for x in new if x[-1] in self.marks and x[-2:-1].isalnum()]
+        words = list({x[:-1] for x in marked}.union(new.difference(marked)).difference(memo))
+        if words:
+            self._learn(words)
+        memo.update([(x, memo[x[:-1]] + self.marks[x[-1]]) for x in marked])
         out = [head + b"".join(map(memo.__getitem__, c[1:])) for head, c in zip(heads, chunks, strict=True)]
-        for x in new:
+        for x in new.union(words):
             if len(x) > MEMO_CHARS:
                 del memo[x]
         return out
