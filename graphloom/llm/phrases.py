@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import cut, drop_cut, in_batches, mix64, text_bytes
 
 #: Words that a shard gathers before it is closed.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 3 << 20
 #: Pairs of blocks that are ANDed at once.
 AND_BATCH = 1 << 20
 LEAST, LONGEST, TOP = 10, 3, 2000
