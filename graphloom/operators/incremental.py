@@ -148,6 +148,14 @@ def _judged(spark: SparkSession, corrections: DataFrame | None) -> DataFrame:
     return resolve.merge_map(corrections).join(ignored, "alias", "full")
 
 
+def take(spark: SparkSession, path: str, new_rows: DataFrame, documents: DataFrame, most: int = resolve.MAX_ENTITIES, high: int | None = None) -> int:
+    """Take documents (content_hash) whose mentions are keyed already, by rules that no other document bears on; returns the run's number."""
+    create(spark, path)
+    run = last_run(spark, path)[0] + 1
+    _write(documents.select("content_hash").distinct(), path, "rekeyed", run)
+    return refresh(spark, path, new_rows, run, coreference=False, most=most, high=high)
+
+
 def refresh(spark: SparkSession, path: str, new_rows: DataFrame, run: int, coreference: bool = True, most: int = resolve.MAX_ENTITIES, high: int | None = None) -> int:
     """Counts, merges and roll-ups after the documents listed in this run's ``rekeyed`` have new keyed mentions; ends with the mark."""
     before = run - 1

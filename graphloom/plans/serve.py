@@ -1,17 +1,26 @@
-"""The query surface over HTTP, as JSON, with the standard library's server."""
+"""The query surface over HTTP, as JSON, with the standard library's server.
+
+Answers are whole: rows are sent as Spark hands them over, partition by
+partition, and no frame is held or cut.  What a client posts (a document read, a
+correction) makes a new landscape that later answers come from; ``on_change``
+gets the changed table, to store it.
+"""
 
 from __future__ import annotations
 
 import json
+import threading
+from collections.abc import Callable, Iterator
+from dataclasses import replace
+from datetime import datetime, timezone
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphloom.plans.api import Landscape, NotFound
-
-#: Rows of one frame that an answer holds at most: routes return short lists.
-MOST = 1000
+from graphloom.session import cut
 
 
 def answer(land: Landscape, path: str, query: dict[str, str]) -> dict[str, DataFrame] | DataFrame:
@@ -53,25 +62,71 @@ def answer(land: Landscape, path: str, query: dict[str, str]) -> dict[str, DataF
     raise KeyError(path)
 
 
-def body(found: dict[str, DataFrame] | DataFrame) -> str:
+def change(land: Landscape, path: str, sent: dict) -> tuple[Landscape, str]:
+    """The landscape after one posted change, and the name of the table that changed; KeyError for an unknown route."""
+    if path.strip("/") == "api/document/mark-read":
+        hashes = sent["content_hash"] if isinstance(sent["content_hash"], list) else [sent["content_hash"]]
+        spark = land.documents.sparkSession
+        asked = spark.createDataFrame([(str(h),) for h in hashes], "content_hash string")
+        absent = asked.join(land.documents, "content_hash", "left_anti").first()
+        if absent:
+            raise NotFound(absent["content_hash"])
+        marked = cut(land.mark_read(asked, sent.get("at") or datetime.now(timezone.utc).isoformat(timespec="seconds")))
+        return replace(land, tables={**land.tables, "documents": marked}), "documents"
+    if path.strip("/") == "api/correct":
+        corrections = cut(land.correct(sent["action"], sent["surface"], sent.get("canonical")))
+        return land.resolved(corrections, land.tables.get("trusted")), "corrections"
+    raise KeyError(path)
+
+
+def body(found: dict[str, DataFrame] | DataFrame) -> Iterator[str]:
+    """The JSON text of an answer, in pieces."""
     frames = found if isinstance(found, dict) else {"rows": found}
-    return json.dumps({name: [json.loads(r) for r in df.limit(MOST).toJSON().collect()] for name, df in frames.items()}, ensure_ascii=False)
+    for i, (name, df) in enumerate(frames.items()):
+        yield ("," if i else "{") + json.dumps(name) + ":["
+        for k, row in enumerate(df.select(F.to_json(F.struct("*")).alias("json")).toLocalIterator()):
+            yield ("," if k else "") + row["json"]
+        yield "]"
+    yield "}" if frames else "{}"
 
 
-def server(land: Landscape, port: int = 8000, host: str = "127.0.0.1") -> ThreadingHTTPServer:
+def server(land: Landscape, port: int = 8000, host: str = "127.0.0.1", on_change: Callable[[str, DataFrame], None] | None = None) -> ThreadingHTTPServer:
+    """A server of the landscape; one change at a time, answers meanwhile come from the landscape before it."""
+    now, changing = [land], threading.Lock()
+
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self) -> None:  # noqa: N802  the name the server looks for
             url = urlsplit(self.path)
+            self.reply(lambda: body(answer(now[0], url.path, {k: v[-1] for k, v in parse_qs(url.query).items()})))
+
+        def do_POST(self) -> None:  # noqa: N802
+            def changed() -> Iterator[str]:
+                sent = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
+                if not isinstance(sent, dict):
+                    raise TypeError("an object is expected")
+                with changing:
+                    after, name = change(now[0], urlsplit(self.path).path, sent)
+                    if on_change:
+                        on_change(name, after.tables[name])
+                    now[0] = after
+                return iter([json.dumps({"ok": True, "changed": name})])
+
+            self.reply(changed)
+
+        def reply(self, made: Callable[[], Iterator[str]]) -> None:
             try:
-                status, text = 200, body(answer(land, url.path, {k: v[-1] for k, v in parse_qs(url.query).items()}))
+                pieces = made()
+                status, first = 200, next(pieces)
             except (NotFound, KeyError) as e:
-                status, text = 404, json.dumps({"detail": str(e)})
+                status, first, pieces = 404, json.dumps({"detail": str(e)}), iter(())
             except (ValueError, TypeError) as e:
-                status, text = 422, json.dumps({"detail": str(e)})
+                status, first, pieces = 422, json.dumps({"detail": str(e)}), iter(())
             self.send_response(status)
             self.send_header("Content-Type", "application/json; charset=utf-8")
             self.end_headers()
-            self.wfile.write(text.encode())
+            self.wfile.write(first.encode())
+            for piece in pieces:
+                self.wfile.write(piece.encode())
 
         def log_message(self, *_) -> None:
             pass

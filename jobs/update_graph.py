@@ -31,16 +31,15 @@ def keyed_lines(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> Data
 def run(spark: SparkSession, orders: str, lineitem: str, part: str, output: str, config: dict[str, Any]) -> DataFrame:
     """Add the orders beyond the mark of OUTPUT to its graph; returns the edges (a, b, weight, strength) as they stand."""
     incremental.create(spark, output)
-    before, high = incremental.last_run(spark, output)
+    _, high = incremental.last_run(spark, output)
     beyond = lambda path, key: spark.read.parquet(path).where(F.lit(True) if high is None else F.col(key) > high)
     new = beyond(orders, "o_orderkey").select("o_orderkey", "o_orderdate").where("o_orderkey is not null")
     count, top = new.agg(F.count("*"), F.max("o_orderkey")).first()
     if count:
-        docs = new.select(F.col("o_orderkey").cast("string").alias("content_hash")).distinct()
-        docs.write.mode("overwrite").parquet(f"{output}/rekeyed/run={before + 1}")
+        docs = new.where(F.col("o_orderkey") <= top).select(F.col("o_orderkey").cast("string").alias("content_hash"))
         rows = keyed_lines(new.where(F.col("o_orderkey") <= top), beyond(lineitem, "l_orderkey"), spark.read.parquet(part))
-        incremental.refresh(spark, output, rows, before + 1, coreference=False, most=config["most_entities"], high=top)
-        log.info("run %d: read %d orders of %s beyond %s; wrote their differences to %s, mark %s", before + 1, count, orders, high, output, top)
+        run_number = incremental.take(spark, output, rows, docs, most=config["most_entities"], high=top)
+        log.info("run %d: read %d orders of %s beyond %s; wrote their differences to %s, mark %s", run_number, count, orders, high, output, top)
     else:
         log.info("nothing beyond %s in %s", high, orders)
     return incremental.edges(spark, output, incremental.rollups(spark, output))
