@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import arrow_stage, text_bytes
 
 #: Entries of the piece and pair memories; they are emptied when full, which changes no result.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 120_000
 
 
 class Pieces(dict):
