@@ -8,7 +8,10 @@ import duckdb
 import pytest
 
 import graphloom.plans.more  # noqa: F401
-from graphloom.plans.registry import ORACLE, QUERIES
+from graphloom.plans import registry
+from jobs import registry as jobs
+
+ORACLE, QUERIES = registry.ORACLE | jobs.ORACLE, registry.QUERIES | jobs.QUERIES
 
 
 def plain(v):
