@@ -106,14 +106,18 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write the next version, commit it, and delete the one before; df may read ``path``."""
+    """Write the next version and commit it; df may read ``path``.
+
+    The version before stays for readers that planned on it and goes with the
+    next replacement; a corpus that was not in versions yet is deleted.
+    """
     spark = df.sparkSession
     done, name = _committed(spark, path), f"data-{uuid.uuid4().hex}"
     df.write.json(f"{path}.versions/{name}")
     fs, commit = _fs(spark, f"{path}.versions/log/{(done[-1][0] if done else 0) + 1:08d}.{name}")
     fs.create(commit, False).close()
-    old = done[-1][1] if done else path
-    fs.delete(_fs(spark, old)[1], True)
+    for old in [at for _, at in done[:-1]] if done else [path]:
+        fs.delete(_fs(spark, old)[1], True)
 
 
 def union_sources(*batches: DataFrame) -> DataFrame:
