@@ -6,15 +6,17 @@ dst_id, relation, weight, strength, confidence, ...).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import contains_ci
 from graphloom.schemas import CO_OCCURS
-from graphloom.session import cut
+from graphloom.session import drop, shared_dir
+
+PATH = "step int, from_id bigint, to_id bigint, edge_id bigint, relation string"
 
 #: Default names too general to lead a landing view.
 GENERIC = ("ai", "artificial intelligence", "united states", "america", "washington", "pentagon")
@@ -148,37 +150,63 @@ def adjacent(nodes: DataFrame, edges: DataFrame, node_id: int, limit: int = 6) -
 
 
 def shortest_path(edges: DataFrame, src: int, dst: int, max_hops: int | None = None) -> DataFrame:
-    """(step, from_id, to_id, edge_id, relation) of a path with fewest edges; empty if there is none (of ``max_hops`` edges, if given).
-
-    Breadth first by frontier joins.  Every reached node keeps the smallest
-    sequence of (co-occurrence?, edge id) that reaches it, so among equally
-    short paths one that starts with typed edges wins, whatever the partitions.
+    """(step, from_id, to_id, edge_id, relation) of a path with fewest edges; empty if there is none (of ``max_hops`` edges, if given) or ``src`` is ``dst``.
+
+    Two breadth-first searches, one from each end, of which the one with fewer
+    nodes at its rim goes on.  Every level is a folder of (at, hop): the hop is
+    the smallest (co-occurrence?, edge id) that leads one step nearer to the end
+    the search began at, so a row never holds more than one hop, and a plan reads
+    one level and the nodes of one side, however far the search has come.  Where
+    the rims meet, the nodes of the forward side that lie on a shortest path get
+    their hops towards ``dst`` level by level; then the path is read from ``src``
+    on, one row of each level.  All hops read point forward, so of equally short
+    paths the one whose sequence of (co-occurrence?, edge id) is smallest comes
+    out, whatever the partitions.  Edges with a null end take no part; those with a null relation count as co-occurrence.
     """
     spark = edges.sparkSession
-    schema = "step int, from_id bigint, to_id bigint, edge_id bigint, relation string"
-    if src == dst:
-        return spark.createDataFrame([], schema)
-    edges = edges.withColumns({c: F.col(c).cast("long") for c in ("id", "src_id", "dst_id")})
-    plain = F.when(is_typed(), 0).otherwise(1)
-    hop = F.struct(plain.alias("plain"), F.col("id").alias("edge_id"), F.col("src_id").alias("s"), F.col("dst_id").alias("d"), "relation")
-    both = edges.select(F.col("src_id").alias("at"), F.col("dst_id").alias("to"), hop.alias("hop")).unionByName(edges.select(F.col("dst_id").alias("at"), F.col("src_id").alias("to"), hop.alias("hop")))
-    kind = both.schema["hop"].dataType.simpleString()
-    seen = spark.sql(f"SELECT cast({int(src)} AS bigint) AS at, cast(array() AS array<{kind}>) AS path")
-    frontier = seen
-    for _ in count() if max_hops is None else range(max_hops):
-        step = both.join(frontier, "at").select(F.col("to").alias("at"), F.concat("path", F.array("hop")).alias("path")).join(seen.select("at"), "at", "left_anti").groupBy("at").agg(F.min("path").alias("path"))
-        frontier = cut(step)
-        found = frontier.where(F.col("at") == dst)
-        state = frontier.agg(F.count("*"), F.count_if(F.col("at") == dst)).first()
-        if state[1]:
-            far = found.select(F.posexplode("path").alias("i", "h"), F.col("path"))
-            # Nodes along the way follow from the edges' ends.
-            walk = far.withColumn("from_id", F.aggregate(F.slice("path", 1, F.col("i")), F.lit(int(src)).cast("long"), lambda a, h: F.when(h["s"] == a, h["d"]).otherwise(h["s"])))
-            return walk.select((F.col("i") + 1).alias("step"), "from_id", F.when(F.col("h.s") == F.col("from_id"), F.col("h.d")).otherwise(F.col("h.s")).alias("to_id"), "h.edge_id", "h.relation").orderBy("step")
-        if not state[0]:
-            break
-        seen = seen.select("at").unionByName(frontier.select("at")).withColumn("path", F.lit(None).cast(f"array<{kind}>"))
-    return spark.createDataFrame([], schema)
+    root = f"{shared_dir(spark)}/path-{uuid.uuid4().hex}"
+    links = edges.select(F.when(is_typed(), 0).otherwise(1).alias("plain"), *(F.col(c).cast("long").alias(c) for c in ("id", "src_id", "dst_id")), "relation").where("src_id <> dst_id")
+    hop = lambda to: F.struct("plain", F.col("id").alias("edge_id"), F.col(to).alias("to"), "relation").alias("hop")
+    both = links.select(F.col("src_id").alias("at"), hop("dst_id")).unionByName(links.select(F.col("dst_id").alias("at"), hop("src_id")))
+    schema = f"at bigint, hop {both.schema['hop'].dataType.simpleString()}"
+
+    def level(side: str, i: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{root}/{side}/level={i}")
+
+    def nearer(rim: DataFrame) -> DataFrame:
+        """Nodes beside the rim, each with its smallest hop onto it."""
+        return both.join(rim.select(F.col("at").alias("rim")), F.col("hop.to") == F.col("rim")).groupBy("at").agg(F.min("hop").alias("hop"))
+
+    for side, end in (("forward", src), ("backward", dst)):
+        spark.range(1).select(F.lit(int(end)).cast("long").alias("at")).withColumn("hop", F.lit(None).cast(both.schema["hop"].dataType)).write.parquet(f"{root}/{side}/level=0")
+    depth, rim = {"forward": 0, "backward": 0}, {"forward": 1, "backward": 1}
+    met = src == dst
+    while not met and all(rim.values()) and (max_hops is None or sum(depth.values()) < max_hops):
+        side, other = ("forward", "backward") if rim["forward"] <= rim["backward"] else ("backward", "forward")
+        seen = spark.read.schema("at bigint").parquet(f"{root}/{side}").select("at")
+        depth[side] += 1
+        nearer(level(side, depth[side] - 1)).join(seen, "at", "left_anti").write.parquet(f"{root}/{side}/level={depth[side]}")
+        # The rims were apart before, so what they share now is the middle of all shortest paths.
+        common = level(other, depth[other]).select("at", F.lit(True).alias("common"))
+        rim[side], shared = level(side, depth[side]).join(common, "at", "left").agg(F.count("*"), F.count("common")).first()
+        met = shared > 0
+    if not met or src == dst:
+        drop(spark, root)
+        return spark.createDataFrame([], PATH)
+
+    # Nodes before the middle have hops towards ``src`` so far: those on a path get one onto the next such level.
+    middle = level("forward", depth["forward"]).join(level("backward", depth["backward"]).select("at"), "at", "left_semi")
+    middle.write.parquet(f"{root}/on/level={depth['forward']}")
+    for i in range(depth["forward"] - 1, -1, -1):
+        nearer(level("on", i + 1)).join(level("forward", i).select("at"), "at", "left_semi").write.parquet(f"{root}/on/level={i}")
+    steps, at = [], int(src)
+    for i in range(sum(depth.values())):
+        here = level("on", i) if i < depth["forward"] else level("backward", sum(depth.values()) - i)
+        h = here.where(F.col("at") == at).first()["hop"]
+        steps.append((i + 1, at, h["to"], h["edge_id"], h["relation"]))
+        at = h["to"]
+    drop(spark, root)
+    return spark.createDataFrame(steps, PATH).orderBy("step")
 
 
 def two_hop_pairs(edges: DataFrame, asked: DataFrame) -> DataFrame:

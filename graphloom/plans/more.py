@@ -137,21 +137,14 @@ def q_evidence_filters(spark, sf):
     return graph.with_evidence(G.edges(spark, sf, n), n, 0.6, 0.02, "person").select("id")
 
 
-@query(G.SQL + ", se AS (SELECT * FROM edges WHERE relation = 'co_occurs_with' AND strength >= 0.035), c AS (SELECT id FROM nodes WHERE type = 'concept' ORDER BY id LIMIT 1), near AS (SELECT id FROM c UNION SELECT dst_id FROM se JOIN c ON src_id = c.id UNION SELECT src_id FROM se JOIN c ON dst_id = c.id) SELECT (SELECT count(*) FROM near) AS nodes, (SELECT count(*) FROM se WHERE src_id IN (SELECT id FROM near) AND dst_id IN (SELECT id FROM near)) AS edges")
+@query(G.SQL + ", c AS (SELECT id, canonical_name FROM nodes WHERE type = 'concept' ORDER BY id LIMIT 1), near AS (SELECT id FROM c UNION SELECT dst_id FROM edges JOIN c ON src_id = c.id UNION SELECT src_id FROM edges JOIN c ON dst_id = c.id) SELECT (SELECT count(*) FROM near) AS nodes, (SELECT count(*) FROM edges WHERE src_id IN (SELECT id FROM near) AND dst_id IN (SELECT id FROM near)) AS edges, (SELECT count(*) FROM part JOIN c ON contains(lower(p_name || ' ' || p_brand), lower(canonical_name))) AS documents")
 def q_subfield_scope(spark, sf):
-    return _subfield_scope(spark, sf, G.strong)
-
-
-
-def _subfield_scope(spark, sf, linked):
-    from graphloom.session import cut
-
-    n = cut(G.nodes(spark, sf))
-    e = cut(linked(spark, sf, n))
+    """The first concept, what it is linked to, and the parts that name it."""
+    n = G.nodes(spark, sf)
     first = n.where("type = 'concept'").orderBy("id").limit(1).select(F.lit("Field").alias("subfield"), F.col("canonical_name").alias("concept"))
-    docs = values(spark, "('h', 't', 'b')", "content_hash, title, raw_text")
-    part = digest.scope(first, "field", n, e, docs)
-    return spark.range(1).select(part["nodes"].agg(F.count("*").alias("n")).scalar().alias("nodes"), part["edges"].agg(F.count("*").alias("n")).scalar().alias("edges"))
+    docs = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("content_hash"), F.col("p_name").alias("title"), F.col("p_brand").alias("raw_text"))
+    part = digest.scope(first, "field", n, G.edges(spark, sf, n), docs)
+    return spark.range(1).select(*(part[k].agg(F.count("*").alias("n")).scalar().alias(k) for k in ("nodes", "edges", "documents")))
 
 
 @query(G.SQL + "SELECT (SELECT count(*) FROM nodes WHERE first_seen >= DATE '1995-06-01' - 7) AS new_entities, 'Top' AS top_spike, CAST(1333.5 AS DOUBLE) AS funding")

@@ -364,25 +364,27 @@ def q_neighbours(spark, sf):
     return graph.neighbours(n, G.edges(spark, sf, n), 5)
 
 
-_STRONG = ", se AS (SELECT * FROM edges WHERE relation = 'co_occurs_with' AND strength >= 0.035), sb AS (SELECT DISTINCT src_id AS a, dst_id AS b FROM se UNION SELECT dst_id, src_id FROM se)"
-
-
-@query(G.SQL + _STRONG + " SELECT y.b AS id, canonical_name AS name, type, count(*) AS shared_neighbors FROM sb x JOIN sb y ON x.b = y.a JOIN nodes n ON n.id = y.b WHERE x.a = 5 AND y.b <> 5 AND y.b NOT IN (SELECT b FROM sb WHERE a = 5) GROUP BY 1, 2, 3 ORDER BY shared_neighbors DESC, y.b LIMIT 6")
+@query(G.TRADE + " SELECT y.b AS id, canonical_name AS name, type, count(*) AS shared_neighbors FROM u x JOIN u y ON x.b = y.a JOIN nodes n ON n.id = y.b WHERE x.a = 5 AND y.b <> 5 AND y.b NOT IN (SELECT b FROM u WHERE a = 5) GROUP BY 1, 2, 3 ORDER BY shared_neighbors DESC, y.b LIMIT 6")
 def q_adjacent(spark, sf):
-    return graph.adjacent(G.nodes(spark, sf), G.strong(spark, sf), 5)
+    """What lies two hops from a nation."""
+    return graph.adjacent(G.trade_nodes(spark, sf), G.trade_edges(spark, sf), 5)
 
 
-@query(G.SQL + _STRONG + " SELECT x.a AS a, y.b AS b, count(*) AS shared FROM sb x JOIN sb y ON x.b = y.a JOIN nodes n ON n.id = x.a WHERE n.type = 'organization' AND x.a <> y.b AND NOT EXISTS (SELECT 1 FROM sb z WHERE z.a = x.a AND z.b = y.b) GROUP BY 1, 2")
+@query(G.TRADE + " SELECT x.a AS a, y.b AS b, count(*) AS shared FROM u x JOIN u y ON x.b = y.a JOIN nodes n ON n.id = x.a WHERE n.type = 'place' AND x.a <> y.b AND NOT EXISTS (SELECT 1 FROM u z WHERE z.a = x.a AND z.b = y.b) GROUP BY 1, 2")
 def q_two_hop_pairs(spark, sf):
-    return graph.two_hop_pairs(G.strong(spark, sf), G.nodes(spark, sf).where("type = 'organization'").select("id"))
-
-
-CHAIN = "(1, 1, 2, 'co_occurs_with'), (2, 2, 3, 'co_occurs_with'), (3, 4, 1, 'co_occurs_with'), (4, 3, 4, 'builds'), (5, 3, 5, 'co_occurs_with'), (6, 4, 5, 'builds'), (7, 5, 6, 'builds'), (8, 8, 9, 'builds')"
+    """What lies two hops from every nation."""
+    return graph.two_hop_pairs(G.trade_edges(spark, sf), G.trade_nodes(spark, sf).where("type = 'place'").select("id"))
 
 
-@query("SELECT * FROM (VALUES (1, 1, 4, 3, 'co_occurs_with'), (2, 4, 5, 6, 'builds'), (3, 5, 6, 7, 'builds')) t(step, from_id, to_id, edge_id, relation)")
+@query(G.TRADE + """, far AS (SELECT max(id) AS node, 0 AS d FROM nodes WHERE type = 'concept' UNION SELECT u.b, d + 1 FROM far JOIN u ON u.a = node WHERE d < 8),
+left_over AS (SELECT node, min(d) AS d FROM far GROUP BY 1),
+walk AS (SELECT 0 AS step, CAST(NULL AS BIGINT) AS from_id, min(id) AS to_id, CAST(NULL AS BIGINT) AS edge_id, CAST(NULL AS VARCHAR) AS relation FROM nodes WHERE type = 'concept'
+  UNION ALL (SELECT w.step + 1, w.to_id, u.b, u.id, u.relation FROM walk w JOIN left_over h ON h.node = w.to_id JOIN u ON u.a = w.to_id JOIN left_over n ON n.node = u.b AND n.d = h.d - 1 QUALIFY row_number() OVER (ORDER BY u.relation = 'co_occurs_with', u.id) = 1))
+SELECT * FROM walk WHERE step > 0""")
 def q_shortest_path(spark, sf):
-    return graph.shortest_path(values(spark, CHAIN, "id, src_id, dst_id, relation"), 1, 6)
+    """From the first region to the last."""
+    ends = table(spark, sf, "region").agg(F.min("r_regionkey") * 4, F.max("r_regionkey") * 4).first()
+    return graph.shortest_path(G.trade_edges(spark, sf), *ends)
 
 
 @query("WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey + 5) % 25 AS b FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 7) % 25 FROM nation), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), w AS (SELECT 0 AS node, 0 AS d UNION SELECT b, d + 1 FROM w JOIN u ON a = node WHERE d < 8) SELECT CAST(min(d) AS BIGINT) AS hops FROM w WHERE node = 11")

@@ -1,4 +1,4 @@
-"""A graph from the order tables: an order is a document, a part name an entity.
+"""Graphs from the order tables.  In the first an order is a document, a part name an entity; the second, of trade, is sparse.
 
 Nodes and edges are built once for an application and written to the shared
 folder; queries read the tables, as they would those of a rebuild.
@@ -51,11 +51,6 @@ def edges(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> D
     return _built(spark, sf_dir, "edges", lambda: make_edges(spark, sf_dir, nodes(spark, sf_dir) if known is None else known))
 
 
-def strong(spark: SparkSession, sf_dir: str, known: DataFrame | None = None, least: float = 0.035) -> DataFrame:
-    """Co-occurrence edges of some strength: a graph in which not all nodes are neighbours."""
-    return edges(spark, sf_dir, known).where((F.col("relation") == CO_OCCURS) & (F.col("strength") >= least))
-
-
 def make_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.number(resolve.node_rollup(mentions(spark, sf_dir), documents(spark, sf_dir)), "node_key")
 
@@ -78,7 +73,37 @@ def bridge(spark: SparkSession, sf_dir: str, known: DataFrame) -> DataFrame:
     return mentions(spark, sf_dir).select("node_key", "content_hash").distinct().join(known.select("node_key", F.col("id").alias("node_id")), "node_key").select("node_id", "content_hash")
 
 
-#: The same graph in SQL.
+def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations, suppliers and customers; four of their keys follow each other as ids."""
+    kinds = (("region", "r_regionkey", "r_name", "concept"), ("nation", "n_nationkey", "n_name", "place"), ("supplier", "s_suppkey", "s_name", "organization"), ("customer", "c_custkey", "c_name", "person"))
+    parts = [table(spark, sf_dir, t).select((F.col(key).cast("long") * 4 + i).alias("id"), F.col(name).alias("canonical_name"), F.lit(kind).alias("type")) for i, (t, key, name, kind) in enumerate(kinds)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who lies where, and who buys from whom: a typed edge if more than once, else a co-occurrence."""
+    return _built(spark, sf_dir, "trade", lambda: make_trade(spark, sf_dir))
+
+
+def make_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda key, i: F.col(key).cast("long") * 4 + i
+    lies = [table(spark, sf_dir, t).select(at(a, i).alias("src_id"), at(b, j).alias("dst_id"), F.lit("located_in").alias("relation"), F.lit(1).cast("long").alias("weight")) for t, a, i, b, j in (("nation", "n_nationkey", 1, "n_regionkey", 0), ("supplier", "s_suppkey", 2, "s_nationkey", 1), ("customer", "c_custkey", 3, "c_nationkey", 1))]
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    sold = l.join(o, l.l_orderkey == o.o_orderkey).groupBy(at("o_custkey", 3).alias("src_id"), at("l_suppkey", 2).alias("dst_id")).agg(F.count("*").alias("weight"))
+    sold = sold.select("src_id", "dst_id", F.when(F.col("weight") > 1, "buys_from").otherwise(CO_OCCURS).alias("relation"), "weight")
+    return lies[0].unionByName(lies[1]).unionByName(lies[2]).unionByName(sold).select((F.col("src_id") * (1 << 32) + F.col("dst_id")).alias("id"), "*")
+
+
+#: The graph of trade in SQL; u has each edge either way round.
+TRADE = """
+WITH RECURSIVE nodes AS (SELECT 4 * r_regionkey::BIGINT AS id, r_name AS canonical_name, 'concept' AS type FROM region UNION ALL SELECT 4 * n_nationkey::BIGINT + 1, n_name, 'place' FROM nation UNION ALL SELECT 4 * s_suppkey + 2, s_name, 'organization' FROM supplier UNION ALL SELECT 4 * c_custkey + 3, c_name, 'person' FROM customer),
+sold AS (SELECT 4 * o_custkey + 3 AS src_id, 4 * l_suppkey + 2 AS dst_id, count(*) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+e AS (SELECT 4 * n_nationkey::BIGINT + 1 AS src_id, 4 * n_regionkey::BIGINT AS dst_id, 'located_in' AS relation FROM nation UNION ALL SELECT 4 * s_suppkey + 2, 4 * s_nationkey::BIGINT + 1, 'located_in' FROM supplier UNION ALL SELECT 4 * c_custkey + 3, 4 * c_nationkey::BIGINT + 1, 'located_in' FROM customer
+  UNION ALL SELECT src_id, dst_id, CASE WHEN weight > 1 THEN 'buys_from' ELSE 'co_occurs_with' END FROM sold),
+u AS (SELECT src_id AS a, dst_id AS b, src_id * 4294967296 + dst_id AS id, relation FROM e UNION ALL SELECT dst_id, src_id, src_id * 4294967296 + dst_id, relation FROM e)
+"""
+
+#: The first graph in SQL.
 SQL = """
 WITH RECURSIVE m AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc, l_orderkey AS ord, p_name AS k, l_linenumber AS ln, l_returnflag AS rf FROM lineitem JOIN part ON l_partkey = p_partkey),
 d AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc, o_orderkey AS ord, CAST(o_orderdate AS DATE) AS dt FROM orders),

@@ -1,5 +1,7 @@
 """Operators on small inputs: edges, nulls, ties, round trips."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +128,50 @@ def test_path_same_node_and_unreachable(spark):
     assert graph.shortest_path(e, 1, 1).count() == 0
     assert graph.shortest_path(e, 1, 6).count() == 0
     assert graph.shortest_path(e, 2, 1).count() == 1
+    assert graph.shortest_path(e, 1, 77).count() == 0
+    assert graph.shortest_path(e.where("false"), 1, 2).count() == 0
+
+
+def test_path_prefers_typed_edges(spark):
+    rows = [(1, 1, 2, "co_occurs_with"), (2, 2, 3, "co_occurs_with"), (3, 4, 1, "co_occurs_with"), (4, 3, 4, "builds"), (5, 3, 5, "co_occurs_with"), (6, 4, 5, "builds"), (7, 5, 6, "builds"), (8, 8, 9, "builds")]
+    e = spark.createDataFrame(rows, "id bigint, src_id bigint, dst_id bigint, relation string")
+    assert [tuple(r) for r in graph.shortest_path(e, 1, 6).collect()] == [(1, 1, 4, 3, "co_occurs_with"), (2, 4, 5, 6, "builds"), (3, 5, 6, 7, "builds")]
+
+
+def plain_path(links, src, dst):
+    """Breadth first with whole paths: the smallest sequence of (co-occurrence?, edge id) among the shortest."""
+    best, rim = {src: ()}, {src: ()}
+    while rim and dst not in best:
+        found = {}
+        for i, a, b, relation in links:
+            hop = (int(relation in ("co_occurs_with", None)), i)
+            for x, y in ((a, b), (b, a)):
+                if x in rim and y not in best:
+                    found[y] = min(found.get(y, ((2, 0),)), (*rim[x], hop))
+        best |= found
+        rim = found
+    return [i for _, i in best.get(dst, ())]
+
+
+def test_paths_equal_plain_search(spark):
+    rng = random.Random(11)
+    links = [(i, rng.randrange(40), rng.randrange(40), rng.choice(("co_occurs_with", "builds", None))) for i in range(70)]
+    links += [(70 + i, a, b, r) for i, (_, a, b, r) in enumerate(links[:20])] + [(90, 5, 5, "builds"), (91, None, 3, "builds")]
+    e = spark.createDataFrame(links, "id bigint, src_id bigint, dst_id bigint, relation string").withColumn("at", F.lit("x")).withColumn("hop", F.lit(1)).cache()
+    known = [r for r in links if r[1] is not None]
+    for src, dst in ((0, 39), (3, 17), (22, 8), (39, 0)):
+        rows = graph.shortest_path(e, src, dst).collect()
+        assert [r["edge_id"] for r in rows] == plain_path(known, src, dst)
+        assert [r["step"] for r in rows] == list(range(1, len(rows) + 1))
+        assert all(x["to_id"] == y["from_id"] for x, y in zip(rows, rows[1:])) and (not rows or (rows[0]["from_id"], rows[-1]["to_id"]) == (src, dst))
+
+
+def test_path_past_a_hub_reads_the_small_side(spark):
+    """One end is a hub of 5,000 leaves: the search goes on from the other end, and leaves its folder empty."""
+    e = spark.range(5000).selectExpr("id", "0L AS src_id", "id + 1 AS dst_id", "'builds' AS relation").unionByName(spark.createDataFrame([(9000, 7, 9001, "builds"), (9001, 9001, 9002, "builds")], "id bigint, src_id bigint, dst_id bigint, relation string"))
+    assert [r["to_id"] for r in graph.shortest_path(e, 0, 9002).collect()] == [7, 9001, 9002]
+    assert [r["to_id"] for r in graph.shortest_path(e, 9002, 0).collect()] == [9001, 7, 0]
+    assert graph.shortest_path(e, 0, 9002, max_hops=2).count() == 0
 
 
 def test_subgraph_with_unknown_focus(spark):
