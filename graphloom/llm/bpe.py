@@ -24,15 +24,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import weakref
 from array import array
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_stage, text_bytes
+from graphloom.llm.common import in_batches, text_bytes
 
 #: Entries of the piece and pair memories; they are emptied when full, which changes no result.
 MEMO_ENTRIES = 120_000
@@ -41,12 +42,13 @@ MEMO_ENTRIES = 120_000
 class Pieces(dict):
     """Tokens of pieces, remembered unless they are long; emptied when full."""
 
-    def __init__(self, encode):
+    def __init__(self, bpe: ByteBPE):
         super().__init__()
-        self.encode = encode
+        # Weak, so that no cycle keeps an encoder that nothing uses.
+        self.bpe = weakref.proxy(bpe)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = self.encode(piece.encode("utf-8", "surrogateescape").decode("latin-1"))
+        found = self.bpe.encode_piece(piece.encode("utf-8", "surrogateescape").decode("latin-1"))
         if len(piece) <= 64:
             if len(self) >= MEMO_ENTRIES:
                 self.clear()
@@ -65,7 +67,7 @@ class ByteBPE:
         self.tokens = {r: t for t, r in ranks.items()}
         self.split = regex.compile(pattern)
         self.pairs: dict[int, bool] = {}
-        self.pieces = Pieces(self.encode_piece)
+        self.pieces = Pieces(self)
         # A vocabulary entry that merging does not rebuild from its own bytes can never be produced.
         self.automaton = ahocorasick.Automaton()
         self.whole: dict[str, int] = {}
@@ -185,10 +187,16 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> ByteBPE:
-    """One encoder for each Python worker."""
-    return ByteBPE.load(path, pattern)
+def encoded(df: DataFrame, path: str, pattern: str, fn: Callable[[ByteBPE, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """Map Arrow batches with an encoder, loaded once a task and let go with it: workers go on to other stages, and should not carry it there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = None
+        for batch in batches:
+            bpe = bpe or ByteBPE.load(path, pattern)
+            yield fn(bpe, batch)
+
+    return in_batches(df, run, schema)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
@@ -198,8 +206,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     added = f"`{ids}` array<int>" + (f", `{decoded}` binary" if decoded else "")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names) + ", " + added
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = encoder(path, pattern)
+    def run(bpe: ByteBPE, batch: pa.RecordBatch) -> pa.RecordBatch:
         made, back = [], []
         for data in batch.column("__bpe_in").to_pylist():
             got = bpe.encode(data.decode("utf-8", "surrogateescape"))
@@ -215,15 +222,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
             cols.append(pa.array(back, pa.binary()))
         return pa.RecordBatch.from_arrays(cols, names=[*names, ids, *([decoded] if decoded else [])])
 
-    return arrow_stage(src.select(*[F.col(f"`{n}`") for n in names], "__bpe_in"), run, schema)
+    return encoded(src.select(*[F.col(f"`{n}`") for n in names], "__bpe_in"), path, pattern, run, schema)
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) without shipping the ids back to the JVM."""
     src = docs.select(F.col(key).alias("doc_id"), text_bytes(text).alias("data"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = encoder(path, pattern)
+    def run(bpe: ByteBPE, batch: pa.RecordBatch) -> pa.RecordBatch:
         n, a, b = [], [], []
         for data in batch.column("data").to_pylist():
             ids = bpe.encode(data.decode("utf-8", "surrogateescape"))
@@ -232,4 +238,4 @@ def token_digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
             b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return arrow_stage(src, run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encoded(src, path, pattern, run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
