@@ -66,3 +66,18 @@ def test_new_documents_are_shuffled_few_times(spark, sf, tmp_path):
     before = shuffled(spark)
     incremental.take(spark, f"{tmp_path}/{uuid.uuid4().hex}", rows, docs)
     assert shuffled(spark) - before < 4.2 * rows.count()
+
+
+def test_rules_of_names_are_evaluated_once_a_text(spark):
+    rows = [("d1", 1, i, t, "person") for i, t in enumerate(["Ann Bee", "Ann Bee", None, "Ann Bee Contact : ann@bee.org", "x"] * 3)]
+    mentions = spark.createDataFrame(rows, "content_hash string, doc_ord bigint, mention_ord int, text string, label string")
+    names = resolve.named_texts(mentions)
+    assert names.count() == 3
+    got = resolve.keyed_mentions(mentions)
+    assert sorted((r.text, r.name, r.email, r.node_key, r.canonical) for r in got.collect()) == 3 * [("Ann Bee", "Ann Bee", None, "ann bee", "Ann Bee")] * 2 + 3 * [("Ann Bee Contact : ann@bee.org", "Ann Bee", "ann@bee.org", "ann bee", "Ann Bee")]
+
+
+def test_words_no_surface_begins_with_stay_in_the_text(spark):
+    docs = spark.createDataFrame([("d", "élan İstanbul the ÉTÉ été zoo")], "content_hash string, text string")
+    got = extract._starts(docs, 1, 0, 0, frozenset({"the", "été"}))
+    assert [(r.start, r.word) for r in got.collect()] == [(5, "İstanbul"), (14, "the"), (18, "ÉTÉ"), (22, "été")]
