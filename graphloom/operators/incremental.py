@@ -68,10 +68,14 @@ def last_run(spark: SparkSession, path: str) -> tuple[int, int | None]:
     return row[0] or 0, row[1]
 
 
-def _current(spark: SparkSession, path: str, table: str, listed: str, upto: int) -> DataFrame:
-    """Rows of documents as their last run left them.  Only documents that several runs list take part in the join."""
-    runs = _read(spark, path, listed, upto).groupBy("content_hash").agg(F.max("run").alias("__last"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    return _read(spark, path, table, upto).join(runs, "content_hash", "left").where("__last is null or run = __last").drop("__last", "run")
+def _current(spark: SparkSession, path: str, table: str, listed: str, upto: int, before: int | None = None) -> DataFrame:
+    """Rows of documents as their last run left them; of runs before ``before`` only, if given.
+
+    Only documents that several runs list take part in the join.  They are written
+    first, so that where they are few the rows stay where they are.
+    """
+    runs = cut(_read(spark, path, listed, upto).groupBy("content_hash").agg(F.max("run").alias("__last"), F.count("*").alias("__n")).where("__n > 1").drop("__n"))
+    return _read(spark, path, table, upto if before is None else before - 1).join(runs, "content_hash", "left").where("__last is null or run = __last").drop("__last", "run")
 
 
 def _latest(spark: SparkSession, path: str, table: str, key: str, upto: int) -> DataFrame:
@@ -157,13 +161,15 @@ def take(spark: SparkSession, path: str, new_rows: DataFrame, documents: DataFra
 
 
 def refresh(spark: SparkSession, path: str, new_rows: DataFrame, run: int, coreference: bool = True, most: int = resolve.MAX_ENTITIES, high: int | None = None) -> int:
-    """Counts, merges and roll-ups after the documents listed in this run's ``rekeyed`` have new keyed mentions; ends with the mark."""
+    """Counts, merges and roll-ups after the documents listed in this run's ``rekeyed`` have new keyed mentions (``new_rows``, of these alone); ends with the mark."""
     before = run - 1
     docs = spark.read.schema(TABLES["rekeyed"]).parquet(f"{path}/rekeyed/run={run}")
     old = _current(spark, path, "keyed", "rekeyed", before)
     fresh = _write(new_rows, path, "keyed", run)
     every = _current(spark, path, "keyed", "rekeyed", run)
-    keys = cut(old.join(docs, "content_hash", "left_semi").select("node_key").unionByName(fresh.select("node_key")).distinct())
+    # Of the listed documents, those that had rows before: few or none, if runs bring new documents.
+    known = cut(docs.join(_read(spark, path, "rekeyed", before), "content_hash", "left_semi"))
+    keys = cut(old.join(known, "content_hash", "left_semi").select("node_key").unionByName(fresh.select("node_key")).distinct())
     first = _write(_rolled(every.join(keys, "node_key", "left_semi"), keys), path, "first", run)
     old_merges = cut(merges(spark, path, before))
     if coreference:
@@ -175,20 +181,24 @@ def refresh(spark: SparkSession, path: str, new_rows: DataFrame, run: int, coref
     _write(both.where("not (new <=> old)").select("src", F.col("new").alias("dst")), path, "merges", run)
     new_merges = cut(merges(spark, path, run))
     turned = spark.read.schema(TABLES["merges"]).parquet(f"{path}/merges/run={run}").select(F.col("src").alias("node_key"))
-    # Pairs of the documents whose keys, or whose keys' merges, changed.
-    about = cut(docs.unionByName(every.join(turned, "node_key", "left_semi").select("content_hash")).unionByName(old.join(turned, "node_key", "left_semi").select("content_hash")).distinct())
-    a = resolve.cooccurrence(resolve.apply_merges(old.join(about, "content_hash", "left_semi"), old_merges), most)
-    b = resolve.cooccurrence(resolve.apply_merges(every.join(about, "content_hash", "left_semi"), new_merges), most)
+    # Pairs of the documents whose keys, or whose keys' merges, changed.  The listed ones have their rows in this run.
+    about = cut(every.join(turned, "node_key", "left_semi").select("content_hash").unionByName(old.join(turned, "node_key", "left_semi").select("content_hash")).distinct())
+    others = _current(spark, path, "keyed", "rekeyed", run, before=run).join(about, "content_hash", "left_semi")
+    a = resolve.cooccurrence(resolve.apply_merges(old.join(known.unionByName(about).distinct(), "content_hash", "left_semi"), old_merges), most)
+    b = resolve.cooccurrence(resolve.apply_merges(fresh.unionByName(others), new_merges), most)
     _write(a.withColumn("weight", -F.col("weight")).unionByName(b).groupBy("a", "b").agg(F.sum("weight").alias("weight")).where("weight <> 0"), path, "pairs", run)
     # Nodes that lost or won rows: touched keys and their targets, before and after.
     touched = keys.unionByName(turned).distinct()
     targets = cut(resolve.apply_merges(touched, old_merges).unionByName(resolve.apply_merges(touched, new_merges)).unionByName(touched).distinct())
-    sources = new_merges.join(targets.select(F.col("node_key").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node_key")).unionByName(targets).distinct()
-    # Rows of one of these keys; those that are merged into a node not asked for go.
-    rows = resolve.apply_merges(every.join(sources, "node_key", "left_semi"), new_merges).join(targets, "node_key", "left_semi")
-    own = _latest(spark, path, "first", "node_key", run).join(targets, "node_key", "left_semi").select("node_key", F.col("canonical_name").alias("__name"), F.col("type").alias("__type"))
-    rolled = _rolled(rows, targets).join(own, "node_key", "left").withColumns({"canonical_name": F.col("__name"), "type": F.col("__type")})
-    _write(rolled, path, "nodes", run)
+    # Keys that no merge concerns are as they were rolled up first.
+    mixed = cut(targets.join(old_merges.unionByName(new_merges).select(F.explode(F.array("src", "dst")).alias("node_key")).distinct(), "node_key", "left_semi"))
+    latest = _latest(spark, path, "first", "node_key", run).join(targets, "node_key", "left_semi")
+    # Rows of one of the others; those that are merged into a node not asked for go.
+    sources = cut(new_merges.join(mixed.select(F.col("node_key").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node_key")).unionByName(mixed).distinct())
+    rows = resolve.apply_merges(every.join(sources, "node_key", "left_semi"), new_merges).join(mixed, "node_key", "left_semi")
+    own = latest.select("node_key", F.col("canonical_name").alias("__name"), F.col("type").alias("__type"))
+    rolled = _rolled(rows, mixed).join(own, "node_key", "left").withColumns({"canonical_name": F.col("__name"), "type": F.col("__type")}).drop("__name", "__type")
+    _write(rolled.unionByName(latest.join(mixed, "node_key", "left_anti")), path, "nodes", run)
     _write(docs.agg(F.lit(high).cast("bigint").alias("high"), F.count("*").alias("documents")), path, "marks", run)
     return run
 
