@@ -139,6 +139,37 @@ def test_near_dedup_of_a_large_group_of_near_copies(spark):
     assert want <= got and len(got - want) <= 0.05 * (len(texts) - len(want))
 
 
+def test_links_of_a_large_group_are_few(spark):
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in base)) for i in range(250)]
+    marked = neardup.sketches(spark.createDataFrame(rows, "doc_id bigint, text string")).select("ones", "two").distinct()
+    links = [(r["a"], r["b"]) for r in neardup.candidates(marked).collect()]
+    ids = [r["two"] for r in marked.collect()]
+    assert len(set(closure(ids, links).values())) < 10  # nearly all are joined
+    assert len(links) < 2 * len(ids)
+
+
+def test_thinned_links_join_the_same(spark):
+    rng = np.random.default_rng(9)
+    ends = rng.integers(-(2**63), 2**63 - 1, 300)
+    links = {(int(min(a, b)), int(max(a, b))) for i in range(0, 300, 60) for a, b in rng.choice(ends[i : i + 60], (200, 2)) if a != b}
+    links |= {(int(ends[:60].min()), int(x)) for x in ends[1:60] if x != ends[:60].min()}
+    df = spark.createDataFrame([*links, *links], "parent bigint, child bigint")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)  # a child's parents lie in several batches
+    try:
+        got = [(r["a"], r["b"]) for r in neardup.thin(df).collect()]
+        assert neardup.thin(df.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    ids = ends.tolist()
+    assert closure(ids, got) == closure(ids, links)
+    assert len(got) < len(links)
+
+
 def test_near_dedup_finds_every_block_edit(spark, monkeypatch):
     import random
 
