@@ -1,5 +1,6 @@
 """What travels and what a task holds: the shape of plans, and rows shuffled, with results against brute force."""
 
+import re
 import uuid
 from collections import Counter
 from itertools import combinations
@@ -81,3 +82,35 @@ def test_words_no_surface_begins_with_stay_in_the_text(spark):
     docs = spark.createDataFrame([("d", "élan İstanbul the ÉTÉ été zoo")], "content_hash string, text string")
     got = extract._starts(docs, 1, 0, 0, frozenset({"the", "été"}))
     assert [(r.start, r.word) for r in got.collect()] == [(5, "İstanbul"), (14, "the"), (18, "ÉTÉ"), (22, "été")]
+
+
+def test_relations_read_pieces_of_long_texts(spark):
+    sells, filler = "𝄞 Acme sells Lens é . ", "word 𝄞 é\n" * 7
+    texts = {"long": "".join(filler[: i % 61] + sells for i in range(400)), "edge": "x" * (extract.PIECE - 6) + sells, "empty": "", "none": None}
+    rows = [(d, w, l, m.start(), m.end()) for d, t in texts.items() for w, l in (("Acme", "organization"), ("Lens", "product"), ("word", "misc")) for m in re.finditer(w, t or "")]
+    docs = spark.createDataFrame(list(texts.items()), "content_hash string, text string")
+    mentions = spark.createDataFrame([*rows, ("empty", "Acme", "organization", 3, 7), ("empty", "Lens", "product", 9, 13)], "content_hash string, text string, label string, start_char int, end_char int")
+    got = extract.relations(docs, mentions)
+    want = []
+    for d, _, l1, s1, e1 in rows:
+        for d2, _, l2, s2, e2 in rows:
+            if d == d2 and l1 == "organization" and l2 != "misc" and 0 < s2 - e1 <= extract.MAX_GAP and "sells" in (gap := texts[d][e1:s2]) and ". " not in gap:
+                tail = texts[d][e2 : e2 + extract.TAIL]
+                said = texts[d][s1:e2] + tail[: m.start() + 1 if (m := re.search(r"[.!?]\s", tail)) else None]
+                want.append((d, "supplies", re.sub(r"\s+", " ", said).strip()[:240], s1))
+    assert len(want) > 400 and sorted((r.content_hash, r.relation, r.evidence, r.s1) for r in got.collect()) == sorted(want)
+    # No pair counts its place from the start of the text.
+    assert "regexp_extract_all" in plan(got) and "substr(body" not in plan(got)
+
+
+def test_numbered_rows_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    got = resolve.number(spark.range(100, numPartitions=3).mapInArrow(count, "id bigint").withColumnRenamed("id", "k"), "k")
+    assert sorted((r.k, r.id) for r in got.collect()) == [(i, i + 1) for i in range(100)]
+    assert made.value == 100
