@@ -190,6 +190,32 @@ def test_near_dedup_finds_every_block_edit(spark, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
+def test_no_pair_depends_on_the_sample_of_shingles(spark, monkeypatch):
+    import random
+
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(3000)}"
+    line, texts = ["a", "line", "that", "all", "of", "them", "have"], {}
+    for i in range(60):
+        w = line + [word() for _ in range(rng.randrange(5, 120))]
+        cut = rng.randrange(len(w) // 5 + 2)
+        texts[3 * i], texts[3 * i + 1], texts[3 * i + 2] = (" ".join(t) for t in (w, w[: len(w) - cut], w + [word() for _ in range(cut)]))
+    want = closure(texts, [(a, b) for a in texts for b in texts if a < b and jaccard(texts[a], texts[b]) >= 0.8])
+    df = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    common = neardup.common_shingles
+
+    def upside_down(data, n):
+        keys, counts = common(data, n)
+        return keys, counts.max() + 1 - counts
+
+    # Without fingerprints, whatever is joined comes from leading shingles.
+    monkeypatch.setattr(neardup, "candidates", lambda distinct: spark.createDataFrame([], "a bigint, b bigint"))
+    for known in (common, upside_down, lambda data, n: (np.array([], np.uint64), np.array([], np.int64))):
+        monkeypatch.setattr(neardup, "common_shingles", known)
+        got = {r["doc_id"]: r["component_id"] for r in neardup.duplicates(df).collect()}
+        assert got == {i: c for i, c in want.items() if i != c} and len(got) > 60
+
+
 def test_clusters_are_compared_in_blocks(spark):
     rng = np.random.default_rng(2)
     sets = {i: sorted(set(rng.choice(60, 25, replace=False).tolist())) for i in range(60)}
